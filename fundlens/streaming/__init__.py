@@ -1,0 +1 @@
+"""Empty on purpose: the data product has only batch inputs, so no streaming operator is built."""
