@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from fundlens.plans.browse_queries import browse_queries
+from fundlens.plans.ingest_queries import ingest_oracles, ingest_queries
 from fundlens.plans.oracles import browse_oracles
 
 
 def queries() -> dict:
-    return {**browse_queries()}
+    return {**browse_queries(), **ingest_queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**browse_oracles()}
+    return {**browse_oracles(), **ingest_oracles()}
