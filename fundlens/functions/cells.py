@@ -29,9 +29,9 @@ LAYOUTS = {
 }
 TITLE = 3
 
-# Patterns of cells that lose leading zeros.
-YEAR_CELL = r"^(?:19|20)\d{2}$"
-FOUR_DIGITS = r"^\d{4}$"
+# Cells of four digits lose leading zeros. Project files use a year pattern instead
+# (19.. or 20..), which never starts with a zero, so their cells stay as they are.
+PADDED_NUMBER = r"^(?=\d{4}$)0+(?=\d)"
 DATE_CELL = r"^\d{4}-\d{2}-\d{2}$"
 
 
@@ -87,42 +87,52 @@ def pad(cells: Column, layout: Layout) -> Column:
     return F.concat(cells, F.array_repeat(F.lit(""), missing))
 
 
-def repair(df: DataFrame, layout: Layout, column: str = "cells") -> DataFrame:
-    """All structural repairs of a dataset; rows that cannot be repaired are dropped.
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row (a lambda variable stands for it)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repair(cells: Column, layout: Layout) -> Column:
+    """All structural repairs of a line; null when the line cannot be repaired."""
+
+    def sized(padded: Column) -> Column:
+        return F.when(F.size(padded) == layout.cells, padded)
+
+    def surplus(titled: Column) -> Column:
+        return bind(repair_text(titled, layout), lambda c: bind(pad(c, layout), sized))
 
-    Every step is a column of its own so that later steps see a plain reference.
-    """
     if layout.dated_title:
-        df = df.withColumn(column, repair_title(F.col(column), layout)).filter(F.col(column).isNotNull())
-    df = df.withColumn(column, repair_text(F.col(column), layout))
-    df = df.withColumn(column, pad(F.col(column), layout))
-    return df.filter(F.size(column) == layout.cells)
+        return bind(cells, lambda c: bind(repair_title(c, layout), surplus))
+    return bind(cells, surplus)
 
 
-def clean_cell(cell: Column, number_pattern: str) -> Column:
-    """Outer quotes off, tabs to blanks, triple quotes to one, trimmed, leading zeros off years."""
-    bare = F.btrim(cell, F.lit('"'))
-    bare = F.replace(F.replace(bare, F.lit("\t"), F.lit(" ")), F.lit('"""'), F.lit('"'))
-    bare = F.regexp_replace(bare, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    stripped = F.ltrim(bare, F.lit("0"))
-    number = F.when(stripped == "", "0").otherwise(stripped)
-    return F.when(bare.rlike(number_pattern), number).otherwise(bare)
+# Characters counted as white space.
+BLANKS = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
-def clean_cells(cells: Column, number_pattern: str) -> Column:
-    """Clean every cell; the last one also loses quotes and commas, the first one quotes."""
-    cleaned = F.transform(cells, lambda c: clean_cell(c, number_pattern))
-    last = F.size(cells) - 1
+def clean_cell(cell: Column, dataset: str) -> Column:
+    """Outer quotes off, tabs to blanks, triple quotes to one, trimmed, leading zeros off."""
+    bare = F.replace(F.btrim(cell, F.lit('"')), F.lit("\t"), F.lit(" "))
+    bare = F.btrim(F.replace(bare, F.lit('"""'), F.lit('"')), F.lit(BLANKS))
+    return bare if dataset == "project" else F.regexp_replace(bare, PADDED_NUMBER, "")
 
-    def edges(cell: Column, i: Column) -> Column:
-        tail = F.when(i == last, F.regexp_replace(cell, '[",]', "")).otherwise(cell)
-        return F.when(i == 0, F.replace(tail, F.lit('"'), F.lit(""))).otherwise(tail)
 
-    return F.transform(cleaned, edges)
+def clean_cells(cells: Column, dataset: str) -> Column:
+    """Clean every cell; the last one also loses quotes and commas, the first one quotes."""
+    last = F.size(cells) - 1
 
+    def cleaned(cell: Column, i: Column) -> Column:
+        plain = clean_cell(cell, dataset)
+        return (
+            F.when(i == last, F.translate(plain, '",', ""))
+            .when(i == 0, F.translate(plain, '"', ""))
+            .otherwise(plain)
+        )
 
-def number_pattern(dataset: str) -> str:
-    return YEAR_CELL if dataset == "project" else FOUR_DIGITS
+    return F.transform(cells, cleaned)
 
 
 def name_cells(df: DataFrame, header: list[str], keep: list[str], column: str = "cells") -> DataFrame:
@@ -135,10 +145,15 @@ def name_cells(df: DataFrame, header: list[str], keep: list[str], column: str =
 
 
 def parse_lines(df: DataFrame, dataset: str, header: list[str], keep: list[str] = ()) -> DataFrame:
-    """Raw lines (column ``value``) of a dataset to named string columns."""
+    """Raw lines (column ``value``) of a dataset to named string columns.
+
+    The cells are produced by a generator that drops unrepairable lines, so they are computed once
+    and not again for a filter or for every named column.
+    """
     keep = list(keep)
-    out = df.select(split_cells(F.col("value")).alias("cells"), *keep)
+    cells = split_cells(F.col("value"))
     if dataset in LAYOUTS:
-        out = repair(out, LAYOUTS[dataset])
-    out = out.withColumn("cells", clean_cells(F.col("cells"), number_pattern(dataset)))
-    return name_cells(out, header, keep)
+        cells = repair(cells, LAYOUTS[dataset])
+    cells = bind(cells, lambda c: F.when(c.isNotNull(), clean_cells(c, dataset)))
+    rows = df.select(F.explode(F.array_compact(F.array(cells))).alias("cells"), *keep)
+    return name_cells(rows, header, keep)

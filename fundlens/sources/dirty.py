@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundlens.functions.casts import cast_dataset, combine
-from fundlens.functions.cells import clean_cells, number_pattern, parse_lines, split_cells
+from fundlens.functions.cells import clean_cells, parse_lines, split_cells
 from fundlens.model import DATASETS
 
 BLOCK_SPAN = 1 << 44  # larger than any byte offset in a file
@@ -31,7 +31,7 @@ def discover(spark: SparkSession, root: str, dataset: str) -> list[tuple[str, st
 def read_header(spark: SparkSession, path: str, dataset: str) -> list[str]:
     """Column names from the first line, cleaned like any other line."""
     first = spark.read.text(path).limit(1)
-    cells = clean_cells(split_cells(F.col("value")), number_pattern(dataset))
+    cells = clean_cells(split_cells(F.col("value")), dataset)
     return first.select(cells.alias("h")).head()["h"]
 
 
