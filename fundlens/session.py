@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +25,17 @@ def local_session(cores: int | str = "*", app: str = "fundlens", shuffle: int =
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per application)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_fundlens_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="fundlens-code-"), "fundlens")
+    sc.addPyFile(shutil.make_archive(base, "zip", root, "fundlens"))
+    sc._fundlens_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
