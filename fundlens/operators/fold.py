@@ -60,17 +60,21 @@ def fold_children(df: DataFrame, columns: dict[str, str], limit: int = ROWS_PER_
     return fold_tables({"child": (df, columns)}, limit)[0]
 
 
-def consolidate(store: Store, limit: int = ROWS_PER_KEY) -> DataFrame:
+def consolidate(
+    store: Store, limit: int = ROWS_PER_KEY, lists: dict[str, dict[str, str]] = LIST_COLUMNS
+) -> DataFrame:
     """One wide row per project with its list columns and derived columns.
 
     Projects above ``limit`` child rows continue in further rows (``part`` > 0) that repeat the
     project's scalar columns; every list element appears in exactly one part.
     """
-    children = {name: (getattr(store, name), cols) for name, cols in LIST_COLUMNS.items()}
+    children = {name: (getattr(store, name), cols) for name, cols in lists.items()}
     folded, was_split = fold_tables(children, limit)
     wide = store.projects.join(folded, "id", "left").withColumn(
         "part", F.coalesce("part", F.lit(0).cast("long"))
     )
+    if "list_netEcContribution" not in wide.columns:
+        return with_dates(wide)
     if was_split:
         sums = store.organizations.groupBy(F.col("projectID").alias("id")).agg(
             F.coalesce(F.sum(F.col("netEcContribution").cast("double")), F.lit(0.0)).alias(
@@ -83,12 +87,18 @@ def consolidate(store: Store, limit: int = ROWS_PER_KEY) -> DataFrame:
     return with_derived(wide)
 
 
-def with_derived(df: DataFrame) -> DataFrame:
+def with_dates(df: DataFrame) -> DataFrame:
     return df.select(
         "*",
         F.year("startDate").alias("startYear"),
         F.year("endDate").alias("endYear"),
         F.datediff("endDate", "startDate").alias("durationDays"),
+    )
+
+
+def with_derived(df: DataFrame) -> DataFrame:
+    return with_dates(df).select(
+        "*",
         float_ratio(F.col("netEcContribution"), F.col("totalCost").cast("double")).alias("ecRatio"),
     )
 

@@ -88,7 +88,7 @@ def drop_redundant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid.drop_redundant(near, REDUNDANT_HERE).select("query_id", "id", "rank")
 
 
-REDUNDANT_HERE = 0.5
+REDUNDANT_HERE = 0.3
 
 
 def rerank_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
