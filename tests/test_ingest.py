@@ -1,0 +1,223 @@
+"""Dirty lines: repairs, cleaning, casts, folders, unions, sinks."""
+
+import datetime
+
+import pytest
+
+from fundlens.functions import casts, cells
+from fundlens.plans import pipeline
+from fundlens.plans.ingest_queries import ORGANIZATION_HEADER, PROJECT_HEADER
+from fundlens.sources import dirty, tables
+from tests.helpers import plan
+
+DAY = ["2020-01-01", "2021-02-03"]
+
+
+def project_cells(title="T", start=DAY[0], end=DAY[1], objective="goal", rcn="7"):
+    head = ["1", "A", "SIGNED", title, start, end, "10", "20", "lb", "tp", "2019-01-01", "FP7", "m", "s"]
+    return head + ["fs", "n", objective, "2020-01-02 03:04:05", rcn, "doi"]
+
+
+def parse(spark, lines, dataset="project", header=PROJECT_HEADER):
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    return cells.parse_lines(df, dataset, header).collect()
+
+
+def one(spark, items, **options):
+    rows = parse(spark, [";".join(items)], **options)
+    return rows[0] if rows else None
+
+
+def test_exact_row(spark):
+    row = one(spark, project_cells())
+    assert (row["title"], row["objective"], row["grantDoi"]) == ("T", "goal", "doi")
+
+
+@pytest.mark.parametrize("title", ["a;b", "a;b;c;d", "a;;b"])
+def test_title_overflow(spark, title):
+    row = one(spark, project_cells(title=title))
+    assert (row["title"], row["startDate"], row["objective"]) == (title, DAY[0], "goal")
+
+
+def test_objective_overflow(spark):
+    row = one(spark, project_cells(objective="x;y;z"))
+    assert (row["objective"], row["rcn"]) == ("x;y;z", "7")
+
+
+def test_both_overflows(spark):
+    row = one(spark, project_cells(title="a;b", objective="x;y"))
+    assert (row["title"], row["objective"]) == ("a;b", "x;y")
+
+
+def test_quoted_dates_with_overflow_are_dropped(spark):
+    assert one(spark, project_cells(title="a;b", start='"2020-01-01"', end='"2021-01-01"')) is None
+
+
+def test_empty_cells_count_as_dates(spark):
+    """A pair of empty cells ends the title, as the line cleaner defines it (outer quotes go)."""
+    items = project_cells(title="a;b", start='"2020-01-01"', end='"2021-01-01"')
+    items[6] = items[7] = ""
+    row = one(spark, items)
+    assert row["title"] == 'a;b;"2020-01-01";"2021-01-01'
+
+
+def test_short_row_is_padded(spark):
+    row = one(spark, project_cells()[:18])
+    assert row["rcn"] is None and row["grantDoi"] is None
+
+
+def test_organization_name_overflow(spark):
+    items = [str(i) for i in range(25)]
+    items[4] = "Uni; Dept; Lab"
+    row = one(spark, items, dataset="organization", header=ORGANIZATION_HEADER)
+    assert (row["name"], row["active"]) == ("Uni; Dept; Lab", "24")
+
+
+def test_cell_cleaning(spark):
+    header = [f"c{i}" for i in range(8)]
+    line = ';'.join(['"k"x', "0012", "0000", "2021", ' a\tb ', '"say """x"', '""', '"1,5"'])
+    row = parse(spark, [line], "topics", header)[0]
+    assert list(row) == ["kx", "12", "0", "2021", "a b", 'say "x', None, "15"]
+    project = project_cells()
+    project[18] = "0012"
+    assert one(spark, project)["rcn"] == "0012"
+
+
+def test_ragged_rows(spark):
+    rows = parse(spark, ["1;a", "2;b;c;d;e", "3;x;y"], "topics", ["projectID", "topic", "title"])
+    assert [tuple(r) for r in rows] == [("1", "a", None), ("2", "b", "c"), ("3", "x", "y")]
+
+
+def test_amounts_and_dates(spark):
+    df = spark.createDataFrame(
+        [('"1234,5"', "2020-01-02", "2020-01-02 03:04:05"), ("99.0", "2020-13-02", "x"), (None, None, None)],
+        "a string, d string, t string",
+    )
+    rows = df.select(
+        casts.amount("a"), casts.lenient_date("d"), casts.lenient_time("t").cast("string")
+    ).collect()
+    assert [tuple(r) for r in rows] == [
+        (1234.5, datetime.date(2020, 1, 2), "2020-01-02 03:04:05"), (99.0, None, None), (None, None, None),
+    ]
+    with pytest.raises(Exception):
+        spark.createDataFrame([("abc",)], "a string").select(casts.amount("a")).collect()
+
+
+def test_keys(spark):
+    df = spark.createDataFrame([("12_3", "/files/1/22/x"), ("a_3", "/none")], "i string, u string")
+    rows = df.select(casts.extracted("i", casts.PUBLICATION_KEY), casts.extracted("u", casts.FILE_KEY)).collect()
+    assert [tuple(r) for r in rows] == [("12", "22"), (None, None)]
+
+
+def write_programmes(root):
+    def put(folder, dataset, header, lines):
+        (root / folder).mkdir(exist_ok=True)
+        (root / folder / f"{dataset}.csv").write_text("\n".join([";".join(header), *lines]) + "\n", encoding="utf-8")
+
+    for n, folder in enumerate(["FP1", "H2020", "H2013"]):
+        lines = []
+        for i in range(3):
+            items = project_cells(title=f"P{n}{i}" + (";rest" if i == 1 else ""))
+            items[0], items[11] = str(10 * n + i), "FP1" if folder == "FP1" else folder
+            lines.append(";".join(items))
+        put(folder, "project", PROJECT_HEADER, lines)
+        org = []
+        for i in range(3):
+            for j in range(2):
+                items = [""] * 25
+                items[0], items[2], items[4], items[6], items[11] = str(10 * n + i), str(j), f"Org{j};x", "true", "BE"
+                items[13], items[21], items[22] = "1.5,2.5", "5.5", "7,5"
+                org.append(";".join(items))
+        put(folder, "organization", ORGANIZATION_HEADER, org)
+        put(folder, "topics", ["projectID", "topic", "title"], [f"{10 * n};t{n};name"])
+        put(folder, "euroSciVoc", ["projectID", "euroSciVocTitle", "euroSciVocPath", "euroSciVocDescription"],
+            [f"{10 * n};v;/a/b/v;d", f"{10 * n};w;/a/c/w;d"])
+        put(folder, "projectDeliverables", ["projectID", "deliverableType", "url", "contentUpdateDate"],
+            [f"{10 * n};Doc;http://d;2020-01-01 00:00:00"])
+        put(folder, "reportSummaries", ["projectID", "title", "attachment", "contentUpdateDate"],
+            [f"{10 * n};Rep;a;2020-01-01 00:00:00"])
+        put(folder, "webLink", ["projectID", "physUrl", "availableLanguages", "status", "archivedDate", "type",
+            "source", "represents"], [f"{10 * n};u;en,fr;s;d;t;s;r"])
+        put(folder, "legalBasis", ["projectID", "legalBasis", "title", "uniqueProgrammePart"], [f"{10 * n};L;t;u"])
+        if folder == "H2013":
+            put(folder, "projectPublications", list(casts.LEGACY_PUBLICATION), [f"r1;Old;auth;doi;{10 * n};J;1-2;Book"])
+        else:
+            put(folder, "projectPublications",
+                ["id", "title", "authors", "doi", "journalTitle", "isPublishedAs", "publishedYear", "contentUpdateDate"],
+                [f"{10 * n}_1;New;auth;doi;J;Article;2020;2020-01-01 00:00:00"])
+    put("H2020", "webItem", ["uri"], ["/files/1/55/x", "/other"])
+    (root / "notes.txt").write_text("no folder")
+
+
+def test_folders_to_consolidated(spark, tmp_path):
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    root.mkdir()
+    write_programmes(root)
+    assert [f for f, _ in dirty.discover(spark, str(root), "project")] == ["FP1", "H2013", "H2020"]
+    assert [f for f, _ in dirty.discover(spark, str(root), "webItem")] == ["H2020"]
+    store = pipeline.ingest(spark, str(root), out)
+    projects = {r["id"]: r for r in store.projects.collect()}
+    assert len(projects) == 9 and projects["11"]["title"] == "P11;rest"
+    assert projects["11"]["programmeFolder"] == "H2020" and projects["11"]["startDate"] == datetime.date(2020, 1, 1)
+    pubs = {r["projectID"]: r for r in store.publications.collect()}
+    assert pubs["20"]["isPublishedAs"] == "Book" and pubs["20"]["publishedYear"] is None and pubs["10"]["title"] == "New"
+    items = spark.read.parquet(f"{out}/webItem_all.parquet").orderBy("uri").collect()
+    assert [r["projectID"] for r in items] == [55, None]
+
+    clean = pipeline.build_consolidated(spark, store, out)
+    rows = {r["id"]: r for r in clean.collect()}
+    assert len(rows) == 6 and "0" not in rows
+    ten = rows["10"]
+    assert ten["list_name"] == ["Org0;x", "Org1;x"] and ten["list_totalCost"] == [7.5, 7.5]
+    assert ten["netEcContribution"] == 11.0 and ten["ecRatio"] == 1.1 and ten["durationDays"] == 399
+    assert ten["list_title"] == ["New"] and ten["list_title_report"] == ["Rep"] and ten["list_title_legal"] == ["t"]
+    assert rows["11"]["list_title"] is None and rows["11"]["part"] == 0
+
+
+def test_line_order_in_a_split_file(spark, tmp_path):
+    """Block-wise reading keeps the line order in ord, and the header is dropped once."""
+    path = tmp_path / "f.csv"
+    path.write_text("value\n" + "".join(f"{i};{'x' * 50}\n" for i in range(2000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = dirty.read_lines(spark, str(path))
+        assert lines.rdd.getNumPartitions() > 1
+        got = [r["value"] for r in lines.orderBy("ord").collect()]
+        assert lines.select("seg").distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [f"{i};{'x' * 50}" for i in range(2000)]
+
+
+def test_lines_keep_quotes_and_blanks(spark, tmp_path):
+    path = tmp_path / "g.csv"
+    body = ['"a;b', ' lead;"""x"""', "\\e\\", "#c;1", "tab\t;é"]
+    path.write_text("\n".join(["h", *body]) + "\n", encoding="utf-8")
+    assert [r["value"] for r in dirty.read_lines(spark, str(path)).orderBy("ord").collect()] == body
+
+
+def test_union_types(spark):
+    a = spark.createDataFrame([(1, "x")], "k long, v string")
+    b = spark.createDataFrame([("s", "y")], "k string, v string")
+    assert casts.combine([a, b], "topics").dtypes == [("k", "string"), ("v", "string")]
+    c = spark.createDataFrame([(1.5, "z")], "k double, v string")
+    assert casts.combine([a, c], "topics").dtypes[0] == ("k", "double")
+
+
+def test_csv_sink_writes_nested_columns(spark, tmp_path):
+    df = spark.createDataFrame([(1, ["a", "b"])], "id int, xs array<string>")
+    tables.write_csv(df, str(tmp_path / "c"))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).collect()
+    assert back[0]["xs"] == '["a","b"]'
+
+
+def test_sample_scan(spark, sf):
+    assert tables.scan(spark, f"{sf}/orders.parquet", 7).count() == 7
+    assert tables.scan(spark, f"{sf}/nation.parquet").count() == 25
+
+
+def test_no_python_in_repair(spark):
+    df = spark.createDataFrame([("a;b",)], "value string")
+    text = plan(cells.parse_lines(df, "project", PROJECT_HEADER))
+    assert "EvalPython" not in text and "MapInPandas" not in text

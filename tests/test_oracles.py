@@ -1,0 +1,31 @@
+"""Every query with an oracle must match it; the others must run."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from check_oracle import TABLES, compare
+
+SLOW = {"status_scores", "calibrated_scores", "tuned_search", "train_eval", "anomaly_scores", "answer_prompts"}
+
+
+@pytest.fixture(scope="module")
+def con(sf):
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
+    return connection
+
+
+@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+def test_query(spark, sf, con, name):
+    ok, text = compare(spark, sf, name, con)
+    assert ok, text
+
+
+def test_every_oracle_has_a_query():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
