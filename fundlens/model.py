@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 
-@dataclass(frozen=True)
 class Store:
     """Projects and child tables in long form: one row per child, keyed by ``projectID``.
 
     ``ord`` orders the children of a project; ``seg`` is a coarse number that grows with ``ord`` and
-    is used only to split projects with very many children.
+    is used only to split projects with very many children. A table may be given as a function; it
+    is then built on first use.
     """
 
-    projects: DataFrame
-    organizations: DataFrame
-    vocabulary: DataFrame
-    publications: DataFrame
-    topics: DataFrame
-    deliverables: DataFrame
-    reports: DataFrame
-    web_links: DataFrame
-    legal_bases: DataFrame
+    NAMES = (
+        "projects",
+        "organizations",
+        "vocabulary",
+        "publications",
+        "topics",
+        "deliverables",
+        "reports",
+        "web_links",
+        "legal_bases",
+    )
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        unknown = set(tables) - set(self.NAMES)
+        if unknown:
+            raise ValueError(f"unknown tables: {sorted(unknown)}")
+        self._tables = dict(tables)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        tables = self.__dict__.get("_tables", {})
+        if name not in tables:
+            raise AttributeError(name)
+        if not isinstance(tables[name], DataFrame):
+            tables[name] = tables[name]()
+        return tables[name]
+
+    def replace(self, **changes: DataFrame | Callable[[], DataFrame]) -> Store:
+        return Store(**{**self._tables, **changes})
 
 
 # Dataset names of the programme folders.

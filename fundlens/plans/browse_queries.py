@@ -20,7 +20,7 @@ def _store(spark: SparkSession, sf_dir: str) -> Store:
 def _scored(spark: SparkSession, sf_dir: str) -> Store:
     store = _store(spark, sf_dir)
     scored = store.projects.select("*", *views.scored_columns())
-    return Store(**{**store.__dict__, "projects": scored})
+    return store.replace(projects=scored)
 
 
 def flat_page(df: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def _keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     store = _scored(spark, sf_dir)
     rest = browse.page_after(store.projects, datetime.date(1998, 6, 1), 100)
-    return flat_page(browse.list_projects(Store(**{**store.__dict__, "projects": rest})))
+    return flat_page(browse.list_projects(store.replace(projects=rest)))
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +83,9 @@ def browse_queries() -> dict:
             _store(s, d).projects, "ecMaxContribution"
         ),
         "stats_top_schemes": lambda s, d: stats.top_schemes(_store(s, d).projects),
-        "stats_top_topics": lambda s, d: stats.top_topics(_store(s, d).projects, _store(s, d).vocabulary),
+        "stats_top_topics": lambda s, d: stats.top_topics(views.projects(s, d), views.vocabulary(s, d)),
         "stats_top_countries": lambda s, d: stats.top_countries(
-            _store(s, d).projects, _store(s, d).organizations
+            views.projects(s, d), views.organizations(s, d)
         ),
         "stats_all_series": lambda s, d: stats.chart_series(_store(s, d)),
         "stats_filtered": lambda s, d: stats.chart_series(

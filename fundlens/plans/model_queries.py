@@ -74,7 +74,7 @@ def _entry_counts(fitted: preprocess.Preprocessor, df: DataFrame) -> DataFrame:
 
 
 def multilabel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _prepared(spark, sf_dir)
+    df = materialize(_prepared(spark, sf_dir))
     return _entry_counts(preprocess.fit_preprocessor(df, [], [], features.MULTILABEL), df)
 
 

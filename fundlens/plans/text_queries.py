@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from fundlens.plans import views
 from fundlens.plans.oracle_views import ORDER, ORGANIZATIONS, PROJECTS, SCORED
 from fundlens.plans.views import table
+from fundlens.session import spread
 from fundlens.text import chat, chunks, documents, hybrid, lexical, vectors
 from fundlens.text.tokens import STOP_WORDS, stem_words
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,7 @@ def _hybrid(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     index = lexical.build_index(_docs(spark, sf_dir), stemmed=False)
     queries = _passages(spark, sf_dir)
     vecs = _vectors(spark, sf_dir)
-    held = vecs.join(_docs(spark, sf_dir).select("id"), "id", "left_semi")
+    held = vecs.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
     probes = queries.join(vecs.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
     found = lexical.bm25_search(index, queries, k, match="any")
     near = vectors.vector_search(held, probes.select("query_id", "vector"), k)

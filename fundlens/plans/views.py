@@ -6,6 +6,8 @@ lazy, so a query reads only the columns it uses.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,28 @@ from fundlens.model import Store
 CHILD_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
 
 
+# Schemas of the given tables. Reading with a schema needs no inference job.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "benchmark": "item_id long, text string",
+    "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,14 +238,15 @@ def legal_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store(spark: SparkSession, sf_dir: str) -> Store:
-    return Store(
-        projects=projects(spark, sf_dir),
-        organizations=organizations(spark, sf_dir),
-        vocabulary=vocabulary(spark, sf_dir),
-        publications=publications(spark, sf_dir),
-        topics=topics(spark, sf_dir),
-        deliverables=deliverables(spark, sf_dir),
-        reports=reports(spark, sf_dir),
-        web_links=web_links(spark, sf_dir),
-        legal_bases=legal_bases(spark, sf_dir),
-    )
+    builders = {
+        "projects": projects,
+        "organizations": organizations,
+        "vocabulary": vocabulary,
+        "publications": publications,
+        "topics": topics,
+        "deliverables": deliverables,
+        "reports": reports,
+        "web_links": web_links,
+        "legal_bases": legal_bases,
+    }
+    return Store(**{name: partial(build, spark, sf_dir) for name, build in builders.items()})

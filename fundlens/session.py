@@ -36,6 +36,17 @@ def ship_package(spark: SparkSession) -> None:
     sc._fundlens_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy per-row work on a stored table of few file splits.
+
+    A large table has more splits than the cluster has cores and is returned as it is; only a table
+    of fewer splits, which is small for that cluster, is redistributed. For plain scans only: the
+    plan must have no shuffle, since asking for its partitions would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 

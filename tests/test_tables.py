@@ -3,7 +3,6 @@
 import datetime
 import math
 import random
-from dataclasses import replace
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -22,7 +21,7 @@ from tests.helpers import children, plan
 @pytest.fixture(scope="module")
 def store(spark, sf):
     base = views.store(spark, sf)
-    return replace(base, projects=base.projects.select("*", *views.scored_columns()))
+    return base.replace(projects=base.projects.select("*", *views.scored_columns()))
 
 
 def test_bucket_edges(spark):
