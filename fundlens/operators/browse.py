@@ -168,6 +168,12 @@ def project_organizations(store: Store, project_id: str) -> DataFrame:
     return organization_rows(rows.join(known, "projectID", "left_semi"))
 
 
+def organizations_of(store: Store, ids: DataFrame) -> DataFrame:
+    """Organisations of a set of projects (column ``id``)."""
+    wanted = ids.select(F.col("id").alias("projectID")).distinct()
+    return organization_rows(store.organizations.join(wanted, "projectID", "left_semi"))
+
+
 def organization_rows(organizations: DataFrame) -> DataFrame:
     """Named organisations in child order, with latitude and longitude."""
     latitude, longitude = latitude_longitude(F.col("geolocation"))

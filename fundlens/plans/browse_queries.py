@@ -71,6 +71,11 @@ def _one_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flag_text(browse.project_organizations(_store(spark, sf_dir), "77").orderBy("ord"))
 
 
+def _organizations_of_terminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    return _flag_text(browse.organizations_of(store, store.projects.filter("status = 'TERMINATED'")))
+
+
 def _flag_text(rows: DataFrame) -> DataFrame:
     return rows.drop("ord").withColumn("sme", F.col("sme").cast("string"))
 
@@ -126,6 +131,7 @@ def browse_queries() -> dict:
         ),
         "catalog_distinct": _catalog,
         "project_organizations": _one_project,
+        "organizations_of_terminated": _organizations_of_terminated,
         "organization_locations": lambda s, d: _flag_text(
             browse.organization_locations(_store(s, d).organizations)
         ),

@@ -184,6 +184,9 @@ UNION ALL SELECT 'country', country FROM projects LEFT JOIN organizations ON pro
         "project_organizations": _with(PROJECTS, ORGANIZATIONS)
         + f" SELECT {_ORG_ROW} FROM organizations WHERE name IS NOT NULL AND projectID=77 "
         "AND projectID IN (SELECT id FROM projects)",
+        "organizations_of_terminated": _with(PROJECTS, ORGANIZATIONS)
+        + f" SELECT {_ORG_ROW} FROM organizations WHERE name IS NOT NULL "
+        "AND projectID IN (SELECT id FROM projects WHERE status='TERMINATED')",
         "organization_locations": _with(ORGANIZATIONS)
         + f" SELECT * FROM (SELECT {_ORG_ROW} FROM organizations WHERE name IS NOT NULL) "
         "WHERE latitude IS NOT NULL AND longitude IS NOT NULL",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fundlens.operators.fold import consolidate
 from fundlens.plans import views
 from fundlens.plans.oracle_views import ORDER, ORGANIZATIONS, PROJECTS, SCORED
 from fundlens.plans.views import table
@@ -36,6 +37,21 @@ def project_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.build_documents(scored, store)
 
 
+DOCUMENT_LISTS = {
+    "organizations": {
+        c: f"list_{c}" for c in ("name", "city", "country", "activityType", "ecContribution", "SME")
+    },
+    "reports": {"title": "list_title_report"},
+}
+
+
+def wide_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents from list columns, looked up by position."""
+    store = views.store(spark, sf_dir)
+    scored = store.replace(projects=store.projects.select("*", *views.scored_columns()))
+    return documents.wide_documents(consolidate(scored, lists=DOCUMENT_LISTS))
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.term_counts(_docs(spark, sf_dir), stemmed=False)
 
@@ -173,6 +189,7 @@ def normalized_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_queries() -> dict:
     return {
         "project_documents": project_documents,
+        "wide_documents": wide_documents,
         "chunk_fixed": chunk_fixed,
         "chunk_recursive": chunk_recursive,
         "postings": postings,
@@ -286,6 +303,7 @@ def text_oracles() -> dict[str, str]:
     role = hybrid.ROLE
     return {
         "project_documents": _documents(),
+        "wide_documents": _documents(),
         "chunk_fixed": """
 WITH s AS (SELECT doc_id AS id, text, unnest(range(0, CAST(floor(greatest(length(text)-101, 0)/650) AS BIGINT)+1)) AS chunk_no FROM documents)
 SELECT id, chunk_no, substr(text, chunk_no*650+1, 750) AS chunk FROM s""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fundlens.functions.lists import at_or
 from fundlens.model import Store
 from fundlens.operators.fold import fold_tables
 from fundlens.operators.skew import ROWS_PER_KEY
@@ -51,15 +52,42 @@ def confidence(prefix: str = "predicted") -> Column:
     return F.when(F.col(f"{prefix}_label") == 1, p).otherwise(1 - p)
 
 
+def _member(name: Column, city: Column, country: Column, activity: Column, amount: Column, sme: Column) -> Column:
+    flag = F.when(sme, "SME").otherwise("non-SME")
+    return F.format_string(MEMBER, name, city, country, activity, amount, flag)
+
+
 def member_line() -> Column:
-    sme = F.when(F.col("SME"), "SME").otherwise("non-SME")
-    return F.format_string(
-        MEMBER,
-        shown("name"), shown("city"), shown("country"), shown("activityType"),
-        shown_number("ecContribution"), sme,
+    """Line of one organisation row."""
+    return _member(
+        shown("name"), shown("city"), shown("country"), shown("activityType"), shown_number("ecContribution"),
+        F.col("SME"),
     )
 
 
+def member_lines() -> Column:
+    """Lines of all organisations of a wide row, looked up by position; a list that is too short
+    gives an empty text."""
+
+    def line(name: Column, i: Column) -> Column:
+        amount = F.when(i < F.size("list_ecContribution"), shown_number(F.get("list_ecContribution", i)))
+        at = lambda c: at_or(F.col(c), i)
+        return _member(
+            shown(name), at("list_city"), at("list_country"), at("list_activityType"),
+            F.coalesce(amount, F.lit("")), F.get("list_SME", i).cast("boolean"),
+        )
+
+    return F.transform("list_name", line)
+
+
+def wide_documents(wide: DataFrame) -> DataFrame:
+    """Documents of a stored consolidated, scored table."""
+    ends = wide.filter("part > 0").groupBy("id").agg(F.min("part").alias("_first"), F.max("part").alias("_last"))
+    has_parts = ends.limit(1).count() > 0
+    rows = wide.withColumns({"lines": member_lines(), "titles": F.col("list_title_report")})
+    return _documents(rows.join(ends, "id", "left") if has_parts else rows, has_parts)
+
+
 def build_documents(projects: DataFrame, store: Store, limit: int = ROWS_PER_KEY) -> DataFrame:
     """(id, part, text, startDate, endDate, status, legalBasis).
 
@@ -75,10 +103,17 @@ def build_documents(projects: DataFrame, store: Store, limit: int = ROWS_PER_KEY
         limit,
     )
     rows = projects.join(folded, "id", "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
-    first = last = F.lit(True)
     if was_split:
         ends = folded.groupBy("id").agg(F.min("part").alias("_first"), F.max("part").alias("_last"))
         rows = rows.join(ends, "id", "left")
+    return _documents(rows, was_split)
+
+
+def _documents(rows: DataFrame, was_split: bool) -> DataFrame:
+    """Text of every row from its scalar columns, ``lines`` and ``titles``; with split projects
+    ``_first`` and ``_last`` name their end parts."""
+    first = last = F.lit(True)
+    if was_split:
         first = F.coalesce(F.col("part") == F.col("_first"), F.lit(True))
         last = F.coalesce(F.col("part") == F.col("_last"), F.lit(True))
     header = F.format_string(
