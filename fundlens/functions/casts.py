@@ -39,7 +39,7 @@ PUBLICATION_KEY = r"^(\d+)_"
 FILE_KEY = r"/files/\d+/(\d+)/"
 
 DATE_FORMAT = "yyyy-MM-dd"
-TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
+TIME_SHAPE = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
 
 
 def unquoted(c: str | Column) -> Column:
@@ -61,7 +61,9 @@ def lenient_date(c: str | Column) -> Column:
 
 
 def lenient_time(c: str | Column) -> Column:
-    return F.try_to_timestamp(c, F.lit(TIME_FORMAT)).cast("timestamp_ntz")
+    """Time without zone, so the session zone does not matter."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.rlike(TIME_SHAPE), c.try_cast("timestamp_ntz"))
 
 
 def extracted(c: str | Column, pattern: str) -> Column:

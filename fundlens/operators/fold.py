@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,6 +124,34 @@ def unfold(wide: DataFrame, columns: dict[str, str]) -> DataFrame:
     )
 
 
+def store_from_wide(wide: DataFrame) -> Store:
+    """Long child tables and scalar projects of a stored consolidated table."""
+    listed = {alias for columns in LIST_COLUMNS.values() for alias in columns.values()}
+    scalars = wide.drop("part", *listed)
+    projects = scalars.dropDuplicates(["id"]) if has_parts(wide) else scalars
+
+    def child(columns: dict[str, str]) -> DataFrame:
+        rows = unfold(wide, columns)
+        return rows.select(
+            F.col("id").alias("projectID"),
+            F.struct("part", "pos").alias("ord"),
+            F.col("part").alias("seg"),
+            *[c for c in columns if c in rows.columns],
+        )
+
+    present = {
+        name: partial(child, columns)
+        for name, columns in LIST_COLUMNS.items()
+        if any(alias in wide.columns for alias in columns.values())
+    }
+    return Store(projects=projects, **present)
+
+
+def has_parts(wide: DataFrame) -> bool:
+    """Whether any project continues in further rows."""
+    return "part" in wide.columns and wide.filter("part > 0").limit(1).count() > 0
+
+
 def publication_counts(publications: DataFrame) -> DataFrame:
     """(id, publications): map of publication type to count; a missing type counts as "null"."""
     counts = publications.groupBy(

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from fundlens.model import Store
 from fundlens.operators import browse, stats
 from fundlens.operators.filters import Filters, with_folded
+from fundlens.operators.fold import consolidate, store_from_wide
 from fundlens.plans import views
+from fundlens.session import materialize
 
 
 def _store(spark: SparkSession, sf_dir: str) -> Store:
@@ -76,6 +78,13 @@ def _organizations_of_terminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flag_text(browse.organizations_of(store, store.projects.filter("status = 'TERMINATED'")))
 
 
+def _stats_from_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chart series from the stored wide table alone."""
+    needed = {"organizations": {"country": "list_country"}, "vocabulary": {"euroSciVocTitle": "list_euroSciVocTitle"}}
+    wide = materialize(consolidate(_store(spark, sf_dir), lists=needed))
+    return stats.chart_series(store_from_wide(wide))
+
+
 def _flag_text(rows: DataFrame) -> DataFrame:
     return rows.drop("ord").withColumn("sme", F.col("sme").cast("string"))
 
@@ -93,6 +102,7 @@ def browse_queries() -> dict:
             views.projects(s, d), views.organizations(s, d)
         ),
         "stats_all_series": lambda s, d: stats.chart_series(_store(s, d)),
+        "stats_from_wide": _stats_from_wide,
         "stats_filtered": lambda s, d: stats.chart_series(
             _store(s, d),
             Filters(

@@ -140,6 +140,7 @@ def browse_oracles() -> dict[str, str]:
         + ", agg AS (SELECT label, count(*) AS m FROM tc GROUP BY 1) "
         + _top("m"),
         "stats_all_series": _series("true"),
+        "stats_from_wide": _series("true"),
         "stats_filtered": _series(
             "lower(status)='closed' AND lower(legalBasis)='building' AND "
             "regexp_matches(lower(fundingScheme), 'high|low') AND ecMaxContribution>=100000 "

@@ -281,7 +281,7 @@ def _documents() -> str:
         + ",".join([PROJECTS, SCORED, ORGANIZATIONS])
         + f""", o AS (SELECT projectID, string_agg({line}, ' ' ORDER BY {ORDER}) AS lines FROM organizations GROUP BY 1),
 r AS (SELECT l_orderkey, '[' || string_agg('''Report ' || l_suppkey || '''', ', ' ORDER BY {ORDER}) || ']' AS titles
-  FROM lineitem WHERE l_linenumber=1 GROUP BY 1)
+  FROM lineitem GROUP BY 1)
 SELECT id, 0 AS part, concat_ws(' ',
   'This project under framework ' || {shown('frameworkProgramme')} || ' with funding scheme ' || {shown('fundingScheme')}
   || ', status ' || {shown('status')} || ', legal basis ' || {shown('legalBasis')} || '.',

@@ -105,11 +105,15 @@ def scored_columns() -> list[Column]:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with the child ordinal; ``seg`` is a coarse number that grows with the ordinal."""
+    """Line items with the child ordinal.
+
+    ``seg`` grows with the ordinal and groups 4,096 part numbers, so a hot order splits into parts of
+    moderate size.
+    """
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("projectID"),
         F.struct(*CHILD_ORDER).alias("ord"),
-        (F.col("l_linenumber") * F.lit(10**12) + F.col("l_partkey")).alias("seg"),
+        (F.col("l_linenumber") * F.lit(10**12) + F.floor(F.col("l_partkey") / 4096)).alias("seg"),
         "*",
     )
 
@@ -202,9 +206,7 @@ def deliverables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        _lines(spark, sf_dir)
-        .filter("l_linenumber = 1")
-        .select(
+        _lines(spark, sf_dir).select(
             "projectID",
             "ord",
             "seg",

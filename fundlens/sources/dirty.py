@@ -30,7 +30,7 @@ def discover(spark: SparkSession, root: str, dataset: str) -> list[tuple[str, st
 
 def read_header(spark: SparkSession, path: str, dataset: str) -> list[str]:
     """Column names from the first line, cleaned like any other line."""
-    first = spark.read.text(path).limit(1)
+    first = spark.read.text(path).filter("_metadata.file_block_start = 0").limit(1)
     cells = clean_cells(split_cells(F.col("value")), dataset)
     return first.select(cells.alias("h")).head()["h"]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fundlens.functions.lists import at_or
 from fundlens.model import Store
-from fundlens.operators.fold import fold_tables
+from fundlens.operators.fold import fold_tables, has_parts
 from fundlens.operators.skew import ROWS_PER_KEY
 
 # Sentence formats of a document.
@@ -82,10 +82,10 @@ def member_lines() -> Column:
 
 def wide_documents(wide: DataFrame) -> DataFrame:
     """Documents of a stored consolidated, scored table."""
+    split = has_parts(wide)
     ends = wide.filter("part > 0").groupBy("id").agg(F.min("part").alias("_first"), F.max("part").alias("_last"))
-    has_parts = ends.limit(1).count() > 0
     rows = wide.withColumns({"lines": member_lines(), "titles": F.col("list_title_report")})
-    return _documents(rows.join(ends, "id", "left") if has_parts else rows, has_parts)
+    return _documents(rows.join(ends, "id", "left") if split else rows, split)
 
 
 def build_documents(projects: DataFrame, store: Store, limit: int = ROWS_PER_KEY) -> DataFrame:

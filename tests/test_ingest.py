@@ -5,7 +5,7 @@ import datetime
 import pytest
 
 from fundlens.functions import casts, cells
-from fundlens.plans import pipeline
+from fundlens.plans import build
 from fundlens.plans.ingest_queries import ORGANIZATION_HEADER, PROJECT_HEADER
 from fundlens.sources import dirty, tables
 from tests.helpers import plan
@@ -155,7 +155,7 @@ def test_folders_to_consolidated(spark, tmp_path):
     write_programmes(root)
     assert [f for f, _ in dirty.discover(spark, str(root), "project")] == ["FP1", "H2013", "H2020"]
     assert [f for f, _ in dirty.discover(spark, str(root), "webItem")] == ["H2020"]
-    store = pipeline.ingest(spark, str(root), out)
+    store = build.ingest(spark, str(root), out)
     projects = {r["id"]: r for r in store.projects.collect()}
     assert len(projects) == 9 and projects["11"]["title"] == "P11;rest"
     assert projects["11"]["programmeFolder"] == "H2020" and projects["11"]["startDate"] == datetime.date(2020, 1, 1)
@@ -164,7 +164,7 @@ def test_folders_to_consolidated(spark, tmp_path):
     items = spark.read.parquet(f"{out}/webItem_all.parquet").orderBy("uri").collect()
     assert [r["projectID"] for r in items] == [55, None]
 
-    clean = pipeline.build_consolidated(spark, store, out)
+    clean = build.build_consolidated(spark, store, out)
     rows = {r["id"]: r for r in clean.collect()}
     assert len(rows) == 6 and "0" not in rows
     ten = rows["10"]

@@ -172,6 +172,17 @@ def test_split_consolidation_keeps_results(spark, store):
     assert sorted(map(tuple, names(plain).collect()), key=str) == sorted(map(tuple, names(parted).collect()), key=str)
 
 
+def test_store_from_wide(store):
+    """Browsing the wide table gives what browsing the long tables gives, split projects included."""
+    for limit in (50_000, 40):
+        back = fold.store_from_wide(fold.consolidate(store, limit=limit))
+        wanted = Filters(country="NATION_3", status="closed")
+        assert back.projects.count() == store.projects.count()
+        assert browse.facets(back, wanted).collect() == browse.facets(store, wanted).collect()
+    key = lambda s: s.topics.groupBy("projectID", "topic").count().exceptAll
+    assert key(back)(store.topics.groupBy("projectID", "topic").count()).count() == 0
+
+
 def test_unfold_of_unequal_lists(spark):
     wide = spark.createDataFrame([(1, 0, ["a", "b"], ["x"]), (2, 0, None, None)],
                                  "id long, part long, a array<string>, b array<string>")
