@@ -92,16 +92,20 @@ def query_terms(queries: DataFrame, stemmed: bool) -> DataFrame:
 def bm25_scores(index: Index, queries: DataFrame, match: str = "all") -> DataFrame:
     """(query_id, id, score) of every matching document; ``match`` is "all" or "any" terms.
 
-    The query terms are broadcast when their counted number allows it, so postings are filtered in
-    place. Otherwise postings are joined on (term, salt): a frequent term is spread over ``SALTS``
-    tasks.
+    The query terms are broadcast when their counted number allows it: postings are filtered in
+    place, then placed by document, so that the much larger (query, document) hits are summed up
+    where they arise and never shuffled. Otherwise postings are joined on (term, salt): a frequent
+    term is spread over ``SALTS`` tasks.
     """
-    terms = query_terms(queries, index.stemmed)
+    terms = materialize(query_terms(queries, index.stemmed))
     idf = F.log(F.lit(float(index.n_docs)) / (F.col("df") + 1)) + 1
     if terms.count() <= BROADCAST_ROWS:
-        wanted = index.terms.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-        terms = terms.join(wanted, "term").withColumn("idf", idf)
-        hits = index.postings.join(F.broadcast(terms), "term")
+        asked = F.broadcast(terms.select("term").distinct())
+        known = index.terms.join(asked, "term", "left_semi")
+        terms = materialize(terms.join(F.broadcast(known), "term").withColumn("idf", idf))
+        asked = F.broadcast(terms.select("term").distinct())
+        placed = index.postings.join(asked, "term", "left_semi").repartition("id")
+        hits = placed.join(F.broadcast(terms), "term")
     else:
         terms = terms.join(index.terms, "term").withColumn("idf", idf)
         salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -4,6 +4,7 @@ import datetime
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -300,6 +301,12 @@ def test_exact_quantile(spark):
     df = spark.createDataFrame([(float(i),) for i in range(11)], "x double")
     assert ordering.exact_quantile(df, "x", 0.9).head()[0] == pytest.approx(9.0)
     assert ordering.exact_quantile(df, "x", 0.25).head()[0] == pytest.approx(2.5)
+    draw = random.Random(2)
+    values = [draw.choice([0.0, draw.gauss(0, 1)]) for _ in range(9000)]
+    many = spark.createDataFrame([(v,) for v in values], "x double").repartition(4)
+    for share in (0.0, 0.001, 0.1, 0.5, 0.9, 1.0):
+        want = float(np.quantile(values, share))
+        assert ordering.exact_quantile(many, "x", share).head()[0] == pytest.approx(want)
 
 
 def test_slices_have_exact_sizes_and_do_not_overlap(spark):
