@@ -9,6 +9,7 @@ from fundlens.functions.lists import explanations, latitude_longitude
 from fundlens.model import Store
 from fundlens.operators.filters import Filters, apply_filters
 from fundlens.operators.fold import fold_tables, publication_counts
+from fundlens.session import materialize
 
 PAGE_ROWS = 10
 BROADCAST_PAGE = 10_000
@@ -78,13 +79,16 @@ def list_projects(
 ) -> DataFrame:
     """Page of projects with explanations, list columns and publication counts.
 
-    Sorting and paging see scalar columns only; lists are folded for the ids of the page alone.
+    Sorting and paging see scalar columns only. The page is stored, and so are its child rows, so
+    each large table is read once; lists are folded for the ids of the page alone.
     """
-    chosen = page_rows(apply_filters(store, filters), page, limit, sort_field, sort_order)
+    chosen = materialize(page_rows(apply_filters(store, filters), page, limit, sort_field, sort_order))
     ids = chosen.select(F.col("id").alias("projectID"))
     ids = F.broadcast(ids) if limit <= BROADCAST_PAGE else ids
-    vocabulary = store.vocabulary.join(ids, "projectID", "left_semi")
-    publications = store.publications.join(ids, "projectID", "left_semi")
+    vocabulary = store.vocabulary.select("projectID", "ord", "seg", "euroSciVocTitle", "euroSciVocPath")
+    vocabulary = materialize(vocabulary.join(ids, "projectID", "left_semi"))
+    publications = store.publications.select("projectID", "ord", "seg", "isPublishedAs")
+    publications = materialize(publications.join(ids, "projectID", "left_semi"))
     lists, _ = fold_tables(
         {
             "vocabulary": (

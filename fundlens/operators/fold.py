@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundlens.functions.lists import float_ratio, list_sum
@@ -76,17 +76,25 @@ def consolidate(
     if "list_netEcContribution" not in wide.columns:
         return with_dates(wide)
     if was_split:
-        sums = store.organizations.groupBy(F.col("projectID").alias("id")).agg(
-            F.coalesce(F.sum(F.col("netEcContribution").cast("double")), F.lit(0.0)).alias(
-                "netEcContribution"
-            )
-        )
-        wide = wide.join(sums, "id", "left")
+        wide = wide.join(net_contributions(store.organizations), "id", "left")
     else:
         wide = wide.withColumn("netEcContribution", list_sum(F.col("list_netEcContribution")))
     return with_derived(wide)
 
 
+def net_contributions(organizations: DataFrame) -> DataFrame:
+    """(id, netEcContribution) without building lists: 0 if no amount is known."""
+    total = F.sum(F.col("netEcContribution").cast("double"))
+    return organizations.groupBy(F.col("projectID").alias("id")).agg(
+        F.coalesce(total, F.lit(0.0)).alias("netEcContribution")
+    )
+
+
+def derived_projects(store: Store) -> DataFrame:
+    """The scalar part of the consolidated table: one row per project, no lists."""
+    return with_derived(store.projects.join(net_contributions(store.organizations), "id", "left"))
+
+
 def with_dates(df: DataFrame) -> DataFrame:
     return df.select(
         "*",
@@ -109,7 +117,7 @@ def clean(consolidated: DataFrame) -> DataFrame:
 
 
 def unfold(wide: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Aligned list columns back to one row per element; ``pos`` is the position in the part.
+    """Aligned list columns back to one row per element; ``pos`` is the position in the project.
 
     Lists of different length are filled with nulls; a project without lists gives no row.
     """
@@ -119,9 +127,16 @@ def unfold(wide: DataFrame, columns: dict[str, str]) -> DataFrame:
         for c, a in present.items()
     ]
     zipped = wide.select("id", "part", F.arrays_zip(*filled).alias("_rows"))
-    return zipped.select("id", "part", F.posexplode("_rows").alias("pos", "_row")).select(
-        "id", "part", "pos", *[F.col("_row")[c].alias(c) for c in present]
-    )
+    rows = zipped.select("id", "part", F.posexplode("_rows").alias("pos", "_row"))
+    if has_parts(wide):
+        before = Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = zipped.select("id", "part", F.size("_rows").alias("_n"))
+        starts = sizes.select("id", "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        starts = starts.filter("_start > 0")
+        rows = rows.join(starts, ["id", "part"], "left").withColumn(
+            "pos", (F.col("pos") + F.coalesce("_start", F.lit(0))).cast("int")
+        )
+    return rows.select("id", "part", "pos", *[F.col("_row")[c].alias(c) for c in present])
 
 
 def store_from_wide(wide: DataFrame) -> Store:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_KEY = 50_000
+ROWS_PER_KEY = 500_000  # about 100 MB of child rows
 BROADCAST_ROWS = 200_000
 
 

@@ -2,7 +2,7 @@
 
 PROJECTS = """
 li AS (SELECT l_orderkey, CAST(max(l_shipdate) AS DATE) endd,
-         round(sum(l_extendedprice*(1-l_discount))*10, 4) ec FROM lineitem GROUP BY 1),
+         CAST(sum(CAST(l_extendedprice*(1-l_discount) AS DECIMAL(18,4))) AS DOUBLE)*10 ec FROM lineitem GROUP BY 1),
 projects AS (
   SELECT o_orderkey AS id, 'A' || o_orderkey AS acronym,
     CASE WHEN o_orderkey%50=0 THEN NULL WHEN o_orderstatus='F' THEN 'CLOSED'

@@ -45,14 +45,14 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
+    # Decimal terms: the sum does not depend on the order of the rows.
+    amount = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
     lines = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("id"))
         .agg(
             F.max("l_shipdate").cast("date").alias("endDate"),
-            F.round(
-                F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) * 10, 4
-            ).alias("ecMaxContribution"),
+            (F.sum(amount).cast("double") * 10).alias("ecMaxContribution"),
         )
     )
     key = F.col("o_orderkey")
