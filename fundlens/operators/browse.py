@@ -77,7 +77,8 @@ def list_projects(
     sort_field: str = "startDate",
     sort_order: str = "desc",
 ) -> DataFrame:
-    """Page of projects with explanations, list columns and publication counts.
+    """Page of projects with list columns, publication counts and, if the table is scored,
+    prediction and explanations.
 
     Sorting and paging see scalar columns only. The page is stored, and so are its child rows, so
     each large table is read once; lists are folded for the ids of the page alone.
@@ -99,8 +100,9 @@ def list_projects(
         }
     )
     out = chosen.join(lists, "id", "left").join(publication_counts(publications), "id", "left")
+    scored = "top1_feature" in out.columns
     return out.select(
-        *[c for c in LIST_ROW if c not in ("startDate", "endDate")],
+        *[c for c in LIST_ROW if c in out.columns and c not in ("startDate", "endDate")],
         F.date_format("startDate", "yyyy-MM-dd").alias("startDate"),
         F.date_format("endDate", "yyyy-MM-dd").alias("endDate"),
         F.coalesce("part", F.lit(0).cast("long")).alias("part"),
@@ -108,7 +110,7 @@ def list_projects(
         "list_euroSciVocPath",
         "list_isPublishedAs",
         F.coalesce("publications", F.create_map().cast("map<string,bigint>")).alias("publications"),
-        explanations().alias("explanations"),
+        *([explanations().alias("explanations")] if scored else []),
     ).orderBy(*_order(out, sort_field, sort_order), "part")
 
 

@@ -109,6 +109,12 @@ def test_keyset_pages_equal_offset_pages(store, order):
     assert seen == [r["id"] for r in browse.page_rows(df, 0, 90, "totalCost", order).collect()]
 
 
+def test_list_of_unscored_projects(spark, sf):
+    rows = browse.list_projects(views.store(spark, sf), Filters(status="closed"), limit=3).collect()
+    assert len(rows) == 3 and all(r["status"] == "CLOSED" for r in rows)
+    assert "explanations" not in rows[0].asDict() and isinstance(rows[0]["publications"], dict)
+
+
 def test_unknown_sort_field_falls_back(store):
     a = browse.page_rows(store.projects, sort_field="").select("id").collect()
     assert a == browse.page_rows(store.projects, sort_field="startDate").select("id").collect()
