@@ -195,7 +195,9 @@ def drift_ks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drift_chi2(spark: SparkSession, sf_dir: str) -> DataFrame:
     tests = drift.chi2_test(*_two_periods(spark, sf_dir), ["o_orderstatus", "o_orderpriority"])
-    return tests.select("feature", F.round("statistic", 6).alias("statistic"), "freedom")
+    return tests.select(
+        "feature", F.round("statistic", 6).alias("statistic"), "freedom", F.round("p_value", 6).alias("p_value")
+    )
 
 
 def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,6 +386,19 @@ CASE WHEN starts_with(raw, 'cat__') THEN {_title(spaced("split_part(substr(raw,
         f"SELECT '{c}' AS feature, {c} AS k, {r} AS ref, {1 - r} AS cur FROM {t}"
         for c in ("o_orderstatus", "o_orderpriority") for t, r in (("ra", 1), ("rb", 0))
     )
+    root = "sqrt(na*nb/(na+nb)::DOUBLE)"
+    ks_tests = f"""l AS ({long}), c AS (SELECT feature, v, sum(ref) AS ref, sum(cur) AS cur FROM l GROUP BY 1,2),
+d AS (SELECT feature, sum(ref) OVER w AS a, sum(cur) OVER w AS b, sum(ref) OVER t AS na, sum(cur) OVER t AS nb FROM c
+  WINDOW w AS (PARTITION BY feature ORDER BY v ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY feature)),
+s AS (SELECT feature, na, nb, max(abs(a/na::DOUBLE - b/nb::DOUBLE)) AS st FROM d GROUP BY 1,2,3),
+x AS (SELECT feature, st, ({root}+0.12+0.11/{root})*st AS x FROM s),
+ks AS (SELECT feature, st, CASE WHEN x<0.2 THEN 1.0 ELSE least(1.0, greatest(0.0,
+  (SELECT sum(CASE WHEN j%2=1 THEN 2.0 ELSE -2.0 END * exp(-2.0*j*j*x*x)) FROM range(1,101) AS g(j)))) END AS p FROM x)"""
+    chi_tests = f"""cl AS ({cats}), cc AS (SELECT feature, k, sum(ref) AS ref, sum(cur) AS cur FROM cl GROUP BY 1,2),
+ct AS (SELECT *, sum(ref) OVER (PARTITION BY feature)::DOUBLE AS na, sum(cur) OVER (PARTITION BY feature)::DOUBLE AS nb FROM cc),
+ce AS (SELECT *, (ref+cur)*na/(na+nb) AS ea, (ref+cur)*nb/(na+nb) AS eb FROM ct),
+cs AS (SELECT feature, sum((ref-ea)*(ref-ea)/ea + (cur-eb)*(cur-eb)/eb) AS st, count(*)-1 AS freedom FROM ce GROUP BY 1),
+chi AS (SELECT feature, st, freedom, (SELECT exp(-st/2) * sum((st/2)**i / factorial(i::INT)) FROM range(0, 10) AS g(i) WHERE i < freedom/2) AS p FROM cs)"""
     finished = ", ".join(
         f"replace(replace(substr(top{i}_feature, 6), '_', ' '), 'n ', 'Number of ') AS top{i}_feature, "
         f"round(top{i}_shap::DOUBLE, 4) AS top{i}_shap" for i in range(1, 7)
@@ -433,17 +448,9 @@ SELECT id, CASE WHEN predicted_label=1 THEN 'TERMINATED' ELSE 'CLOSED' END AS la
   round(CASE WHEN predicted_label=1 THEN predicted_prob::DOUBLE ELSE 1-predicted_prob::DOUBLE END, 6) AS confidence FROM scored""",
         "finished_scores": "WITH " + PROJECTS + "," + SCORED
         + f" SELECT id, predicted_label, round(predicted_prob::DOUBLE + 0.00001::DOUBLE, 4) AS predicted_prob, {finished} FROM scored",
-        "drift_ks": f"""
-WITH {periods}, l AS ({long}), c AS (SELECT feature, v, sum(ref) AS ref, sum(cur) AS cur FROM l GROUP BY 1,2),
-d AS (SELECT feature, sum(ref) OVER w AS a, sum(cur) OVER w AS b, sum(ref) OVER t AS na, sum(cur) OVER t AS nb FROM c
-  WINDOW w AS (PARTITION BY feature ORDER BY v ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY feature)),
-s AS (SELECT feature, na, nb, max(abs(a/na::DOUBLE - b/nb::DOUBLE)) AS st FROM d GROUP BY 1,2,3),
-x AS (SELECT feature, st, (sqrt(na*nb/(na+nb)::DOUBLE)+0.12+0.11/sqrt(na*nb/(na+nb)::DOUBLE))*st AS x FROM s)
-SELECT feature, round(st, 9) AS statistic, round(CASE WHEN x<0.2 THEN 1.0 ELSE least(1.0, greatest(0.0,
-  (SELECT sum(CASE WHEN j%2=1 THEN 2.0 ELSE -2.0 END * exp(-2.0*j*j*x*x)) FROM range(1,101) AS g(j)))) END, 6) AS p_value FROM x""",
-        "drift_chi2": f"""
-WITH {periods}, l AS ({cats}), c AS (SELECT feature, k, sum(ref) AS ref, sum(cur) AS cur FROM l GROUP BY 1,2),
-t AS (SELECT *, sum(ref) OVER (PARTITION BY feature)::DOUBLE AS na, sum(cur) OVER (PARTITION BY feature)::DOUBLE AS nb FROM c),
-e AS (SELECT *, (ref+cur)*na/(na+nb) AS ea, (ref+cur)*nb/(na+nb) AS eb FROM t)
-SELECT feature, round(sum((ref-ea)*(ref-ea)/ea + (cur-eb)*(cur-eb)/eb), 6) AS statistic, count(*)-1 AS freedom FROM e GROUP BY 1""",
+        "drift_ks": f"WITH {periods}, {ks_tests} SELECT feature, round(st, 9) AS statistic, round(p, 6) AS p_value FROM ks",
+        "drift_chi2": f"WITH {periods}, {chi_tests} SELECT feature, round(st, 6) AS statistic, freedom, round(p, 6) AS p_value FROM chi",
+        "drift_report": f"""WITH {periods}, {ks_tests}, {chi_tests}, a AS (SELECT p FROM ks UNION ALL SELECT p FROM chi)
+SELECT count(*) AS columns, CAST(count(*) FILTER (WHERE p<0.05) AS BIGINT) AS drifted,
+  CAST(count(*) FILTER (WHERE p<0.05)/count(*)::DOUBLE >= 0.5 AS INT) AS table_drift FROM a""",
     }
