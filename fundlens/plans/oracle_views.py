@@ -42,11 +42,6 @@ vocabulary AS (
   FROM lineitem JOIN part ON l_partkey=p_partkey)
 """
 
-TOPICS = f"""
-topics AS (
-  SELECT {_ORD}, p_brand AS topic, p_name AS title FROM lineitem JOIN part ON l_partkey=p_partkey)
-"""
-
 PUBLICATIONS = f"""
 publications AS (
   SELECT {_ORD}, p_name AS title, CASE WHEN l_partkey%11<>0 THEN p_type END AS isPublishedAs,

@@ -8,7 +8,6 @@ from fundlens.plans.oracle_views import (
     PROJECTS,
     PUBLICATIONS,
     SCORED,
-    TOPICS,
     VOCABULARY,
 )
 

@@ -49,7 +49,7 @@ def brute_split(text, size, overlap, separators):
     out, window = [], []
 
     def flush(window):
-        joined, result, held = "", [], []
+        result, held = [], []
         for bit in window:
             if sum(map(len, held)) + len(bit) > size and held:
                 result.append("".join(held).strip())
