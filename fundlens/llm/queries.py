@@ -5,12 +5,30 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fundlens.llm import bpe, quality, toxicity
+from fundlens.llm import bpe, mixing, quality, secret_scan, simhash, toxicity
 from fundlens.llm.shared import documents, labels, remainder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_simhash_dedup(spark, sf_dir):
+    rows = simhash.grouped(documents(spark, sf_dir))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op2_secret_scan(spark, sf_dir):
+    found = secret_scan.scan(documents(spark, sf_dir), "source")
+    return found.select(
+        "doc_id", "word_no", F.sha2("candidate", 256).alias("candidate_sha256"),
+        F.length("candidate").cast("long").alias("n_chars"), "score", "is_secret",
+    )
+
+
+def op4_source_mix(spark, sf_dir):
+    rows = mixing.mixed(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return rows.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
 def op5_quality_rules(spark, sf_dir):
     docs = documents(spark, sf_dir)
     model = quality.fit_quality(docs, labels(spark, sf_dir))
@@ -25,19 +43,27 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.scored(held_out, "text", model).withColumn("predicted", predicted).drop("text")
 
 
-def op10_bpe_roundtrip(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    rows = bpe.decoded(bpe.encoded(docs, TOKENIZER).drop("text"), TOKENIZER)
+def bpe_digest(encoded, *more):
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ...) of rows with packed ids."""
+    rows = bpe.decoded(encoded.drop("text"), TOKENIZER)
     return rows.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )
 
 
+def op10_bpe_roundtrip(spark, sf_dir):
+    return bpe_digest(bpe.encoded(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER))
+
+
 def llm_queries() -> dict:
     return {
+        "op1_simhash_dedup": op1_simhash_dedup,
+        "op2_secret_scan": op2_secret_scan,
+        "op4_source_mix": op4_source_mix,
         "op5_quality_rules": op5_quality_rules,
         "op6_toxicity": op6_toxicity,
         "op10_bpe_roundtrip": op10_bpe_roundtrip,
