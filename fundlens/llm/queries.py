@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fundlens.llm import bpe, mixing, quality, secret_scan, simhash, toxicity
+from fundlens.llm import bpe, language_id, license_scan, mixing, multiset_hash, quality, secret_scan, simhash, toxicity
 from fundlens.llm.shared import documents, labels, remainder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,12 @@ def op2_secret_scan(spark, sf_dir):
     )
 
 
+def op3_license_scan(spark, sf_dir):
+    rows = license_scan.scanned(documents(spark, sf_dir).select("doc_id", "text"))
+    fields = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return rows.select("doc_id", *(f"scan.{f}" for f in fields))
+
+
 def op4_source_mix(spark, sf_dir):
     rows = mixing.mixed(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return rows.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
@@ -43,6 +49,28 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.scored(held_out, "text", model).withColumn("predicted", predicted).drop("text")
 
 
+def op7_multiset_fingerprint(spark, sf_dir):
+    rows = multiset_hash.with_edits(documents(spark, sf_dir))
+    rows = multiset_hash.fingerprints(rows, "edited", "edited_vector")
+    vector, edited, after = F.col("vector"), F.col("edited_vector"), F.col("next_vector")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        multiset_hash.digest(vector).alias("fingerprint"),
+        multiset_hash.digest(edited).alias("edited_fingerprint"),
+        multiset_hash.likeness(vector, edited).alias("near_edited"),
+        multiset_hash.likeness(vector, after).alias("near_next"),
+    )
+
+
+def op9_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    contents = language_id.fit_dictionaries(docs, remainder(F.col("doc_id"), 5) != 0)
+    rows = docs.select("doc_id", "text", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"))
+    return language_id.predicted(rows, "text", contents).drop("text")
+
+
 def bpe_digest(encoded, *more):
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ...) of rows with packed ids."""
     rows = bpe.decoded(encoded.drop("text"), TOKENIZER)
@@ -63,9 +91,12 @@ def llm_queries() -> dict:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
         "op2_secret_scan": op2_secret_scan,
+        "op3_license_scan": op3_license_scan,
         "op4_source_mix": op4_source_mix,
         "op5_quality_rules": op5_quality_rules,
         "op6_toxicity": op6_toxicity,
+        "op7_multiset_fingerprint": op7_multiset_fingerprint,
+        "op9_language_id": op9_language_id,
         "op10_bpe_roundtrip": op10_bpe_roundtrip,
     }
 
