@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fundlens.llm import bpe, language_id, license_scan, mixing, multiset_hash, quality, secret_scan, simhash, toxicity
+from fundlens.llm import bpe, language_id, license_scan, lm_score, mixing, multiset_hash, quality, secret_scan, simhash, toxicity
 from fundlens.llm.shared import documents, labels, remainder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,6 +64,12 @@ def op7_multiset_fingerprint(spark, sf_dir):
     )
 
 
+def op8_lm_score(spark, sf_dir):
+    rows = lm_score.scored(documents(spark, sf_dir), remainder(F.col("doc_id"), 7) != 2, TOKENIZER)
+    held_out = (remainder(F.col("doc_id"), 7) == 2).alias("held_out")
+    return rows.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir)
     contents = language_id.fit_dictionaries(docs, remainder(F.col("doc_id"), 5) != 0)
@@ -96,6 +102,7 @@ def llm_queries() -> dict:
         "op5_quality_rules": op5_quality_rules,
         "op6_toxicity": op6_toxicity,
         "op7_multiset_fingerprint": op7_multiset_fingerprint,
+        "op8_lm_score": op8_lm_score,
         "op9_language_id": op9_language_id,
         "op10_bpe_roundtrip": op10_bpe_roundtrip,
     }
