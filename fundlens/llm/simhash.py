@@ -101,9 +101,11 @@ def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
     )
     crowded = (
         points.groupBy("point")
-        .agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all"))
-        .select("a", F.explode("all").alias("b"))
+        .agg(F.min("fp").alias("least"), F.collect_set("fp").alias("all"))
+        .select((F.col("least") if max_bits == 2 else F.col("point")).alias("a"), "all", F.explode("all").alias("b"))
+        .filter(F.array_contains("all", F.col("a")))
         .filter((F.col("a") != F.col("b")) & _near("a", "b", max_bits))
+        .select("a", "b")
     )
     return joined.union(crowded).distinct()
 

@@ -1,0 +1,61 @@
+"""BPE against the tokenizers library."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+import tokenizers
+from pyspark.sql import functions as F
+
+from fundlens.llm import bpe
+from fundlens.llm.queries import TOKENIZER, bpe_digest
+
+PARTS = ["a", "b", " ", "\n", "\t", "é", "ß", "1", "٣", "'s", "'ll", "!", "<|endoftext|>", "\x1c", "\x85", "\xa0", "​", "　", "\U0001d518", "\U0001f389", "aaaa", "the", " The", "字", "\x00"]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return tokenizers.Tokenizer.from_file(TOKENIZER)
+
+
+def test_encoder_equals_library(library):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(PARTS, k=rng.randint(0, 40))) for _ in range(2000)]
+    table = bpe.load_tokenizer(TOKENIZER)
+    for text, ids in zip(texts, bpe.Encoder(table).encode(texts), strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want
+        assert bpe.decode_ids(table, ids) == library.decode(want, skip_special_tokens=False)
+
+
+def test_bounded_memory_gives_the_same_ids(library, monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN", 5)
+    encoder = bpe.Encoder(bpe.load_tokenizer(TOKENIZER))
+    for text in ["one two three", "four five six seven", "one <|endoftext|> two eight nine", "one two"]:
+        assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_decodes_bytes_that_are_no_text():
+    table = bpe.load_tokenizer(TOKENIZER)
+    ids = bpe.Encoder(table).encode(["é"])[0]
+    broken = np.array([table["first"][0xC3]], dtype=np.uint32)
+    assert bpe.decode_ids(table, ids) == "é" and bpe.decode_ids(table, broken) == "�"
+
+
+def test_query_digests(make_docs, odd_rows, library):
+    rows = bpe_digest(bpe.encoded(make_docs(odd_rows).select("doc_id", "text"), TOKENIZER)).collect()
+    got = sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows), key=str)
+    want = []
+    for doc_id, text, *_ in odd_rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        packed = hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+        want.append((doc_id, len(ids), packed, hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+
+
+def test_empty_table_and_clashing_column(make_docs):
+    assert bpe.encoded(make_docs([]), TOKENIZER).count() == 0
+    rows = make_docs([(1, "a b")]).withColumn("ids", F.lit("own"))
+    out = bpe.decoded(bpe.encoded(rows, TOKENIZER, ids="_ids"), TOKENIZER, ids="_ids", text="_text").first()
+    assert out.ids == "own" and out._text == "a b"

@@ -1,0 +1,114 @@
+"""SimHash against brute force: fingerprints bit by bit, links over all pairs."""
+
+import random
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from fundlens.llm import queries, simhash
+
+
+def brute(text):
+    words = (text or "").encode().lower().split()
+    runs = [b" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(r, 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(values, bits):
+    """Smallest value that each value reaches."""
+    head = {v: v for v in values}
+    changed = True
+    while changed:
+        changed = False
+        for a in values:
+            for b in values:
+                if bin(a ^ b).count("1") <= bits and head[b] < head[a]:
+                    head[a], changed = head[b], True
+    return head
+
+
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+@pytest.mark.parametrize("text", [None, "", "One", "One two", "a b c", "A b c d e a b c d e", "é ß 字 x " * 40_000])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) == signed(brute(text))
+
+
+def cluster(rng, n, flips):
+    """Fingerprints around a few centres, many of them within two bits of another."""
+    centres = [rng.getrandbits(64) for _ in range(4)]
+    out = set()
+    while len(out) < n:
+        v = rng.choice(centres)
+        for _ in range(rng.randint(0, flips)):
+            v ^= 1 << rng.randrange(64)
+        out.add(v)
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("bits", "crowd"), [(2, 64), (2, 3), (1, 3), (0, 3), (2, 1)])
+def test_links_connect_what_brute_force_connects(spark, monkeypatch, bits, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    values = cluster(random.Random(bits + crowd), 150, 5)
+    nodes = spark.createDataFrame([(signed(v),) for v in values], "fp long")
+    links = simhash.links(nodes, bits)
+    assert links.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > bits).count() == 0
+    found = {r.node: r.root for r in simhash.components(links).collect()}
+    groups: dict = {}
+    for v, head in components(values, bits).items():
+        groups.setdefault(head, set()).add(signed(v))
+    got: dict = {}
+    for v in map(signed, values):
+        got.setdefault(found.get(v, v), set()).add(v)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+
+
+def test_components_of_a_long_chain(spark):
+    rows = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 102)]
+    found = {r.node: r.root for r in simhash.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert found == {k: 0 for k in range(61)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_rejects_more_bits(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), 3)
+
+
+def test_grouped_odd_rows(make_docs, odd_rows):
+    rows = simhash.grouped(make_docs(odd_rows)).collect()
+    assert len(rows) == len(odd_rows)
+    texts = {d: t for d, t, *_ in odd_rows}
+    head = components([brute(t) for t in texts.values()], 2)
+    for r in rows:
+        own = [d for d, t in texts.items() if head[brute(t)] == head[brute(texts[r.doc_id])] and d is not None]
+        assert r.component_id == (min(own) if own else None)
+
+
+def test_one_of_each_keeps_columns(make_docs, odd_rows):
+    docs = make_docs(odd_rows).withColumns({"fp": F.lit("x"), "t": F.lit(1), "head": F.lit(2), "_id": F.lit(3)})
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(ids, key=str) == sorted([1, 4, 6, 7, 8, None], key=str)
+
+
+def test_empty_table(make_docs):
+    assert simhash.grouped(make_docs([])).count() == 0
+    assert simhash.one_of_each(make_docs([])).count() == 0
+
+
+def test_query_on_the_small_tables(spark, sf):
+    rows = queries.op1_simhash_dedup(spark, sf).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    prints = {d: brute(t) for d, t in texts.items()}
+    head = components(sorted(set(prints.values())), 2)
+    least: dict = {}
+    for d, v in prints.items():
+        least[head[v]] = min(d, least.get(head[v], d))
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in rows} == {
+        (d, f"{v:016x}", least[head[v]]) for d, v in prints.items()
+    }
