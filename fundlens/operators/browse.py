@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fundlens.functions.lists import explanations, latitude_longitude
 from fundlens.model import Store
 from fundlens.operators.filters import Filters, apply_filters
-from fundlens.operators.fold import fold_tables, publication_counts
+from fundlens.operators.fold import fold_tables, net_contributions, publication_counts, with_dates, with_derived
 from fundlens.session import materialize
 
 PAGE_ROWS = 10
@@ -50,6 +50,17 @@ def page_after(
     return rest.orderBy(*_order(df, sort_field, sort_order)).limit(limit)
 
 
+def _with_sort_field(store: Store, rows: DataFrame, sort_field: str) -> DataFrame:
+    """Adds the derived columns of the wide table when the sort needs one of them."""
+    if sort_field in rows.columns:
+        return rows
+    if sort_field in ("startYear", "endYear", "durationDays"):
+        return with_dates(rows)
+    if sort_field in ("netEcContribution", "ecRatio"):
+        return with_derived(rows.join(net_contributions(store.organizations), "id", "left"))
+    return rows
+
+
 # Columns of a project list row before folding.
 LIST_ROW = [
     "id",
@@ -76,14 +87,20 @@ def list_projects(
     limit: int = PAGE_ROWS,
     sort_field: str = "startDate",
     sort_order: str = "desc",
+    after: tuple | None = None,
 ) -> DataFrame:
     """Page of projects with list columns, publication counts and, if the table is scored,
-    prediction and explanations.
+    prediction and explanations. ``after`` (last sort value, last id) gives the page behind a known
+    row at a cost that does not grow with the page number; ``page`` is then left out.
 
     Sorting and paging see scalar columns only. The page is stored, and so are its child rows, so
     each large table is read once; lists are folded for the ids of the page alone.
     """
-    chosen = materialize(page_rows(apply_filters(store, filters), page, limit, sort_field, sort_order))
+    rows = _with_sort_field(store, apply_filters(store, filters), sort_field)
+    if after is None:
+        chosen = materialize(page_rows(rows, page, limit, sort_field, sort_order))
+    else:
+        chosen = materialize(page_after(rows, *after, limit, sort_field, sort_order))
     ids = chosen.select(F.col("id").alias("projectID"))
     ids = F.broadcast(ids) if limit <= BROADCAST_PAGE else ids
     vocabulary = store.vocabulary.select("projectID", "ord", "seg", "euroSciVocTitle", "euroSciVocPath")
@@ -176,7 +193,7 @@ def project_organizations(store: Store, project_id: str) -> DataFrame:
 
 def organizations_of(store: Store, ids: DataFrame) -> DataFrame:
     """Organisations of a set of projects (column ``id``)."""
-    wanted = ids.select(F.col("id").alias("projectID")).distinct()
+    wanted = ids.select(F.col("id").alias("projectID"))
     return organization_rows(store.organizations.join(wanted, "projectID", "left_semi"))
 
 

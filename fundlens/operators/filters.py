@@ -106,7 +106,7 @@ def project_predicate(df: DataFrame, f: Filters, unknown_is_null: bool = True) -
 
 def having_child(projects: DataFrame, children: DataFrame, column: str, value: str) -> DataFrame:
     """Projects with a child whose ``column`` equals ``value`` (case-sensitive)."""
-    ids = children.filter(F.col(column) == value).select(F.col("projectID").alias("id")).distinct()
+    ids = children.filter(F.col(column) == value).select(F.col("projectID").alias("id"))
     return projects.join(ids, "id", "left_semi")
 
 

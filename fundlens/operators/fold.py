@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fundlens.functions.lists import float_ratio, list_sum
 from fundlens.model import EXCLUDED_FRAMEWORKS, LIST_COLUMNS, Store
-from fundlens.operators.skew import ROWS_PER_KEY, hot_keys
+from fundlens.operators.skew import ROWS_PER_KEY, dense_position, hot_keys
 
 
 def fold_tables(
@@ -19,26 +19,32 @@ def fold_tables(
 
     ``children`` maps a name to (frame with projectID, ord, seg, …; {column: list name}). All rows
     travel in one union, each in its own struct column, so a single aggregation builds every list.
-    Lists keep nulls and the order of ``ord``. A project with more than ``limit`` child rows comes
-    out as several rows, numbered by ``part``; all other projects have the single part 0.
-    Returns the frame (id, part, lists…) and whether any project was split.
+    Lists keep nulls and the order of ``ord``. The element at position p of a list lies in the row
+    with ``part`` = p div ``limit``, for every project and child table, whichever tables are folded.
+    Positions are worked out only for lists that are longer than ``limit``; all others have part 0.
+    Returns the frame (id, part, lists…) and whether any list has more than one part.
     """
     tagged = []
     for name, (df, columns) in children.items():
         fields = [c for c in columns if c in df.columns]
         tagged.append(
             df.filter("projectID is not null").select(
-                F.col("projectID").alias("id"), "seg", F.struct("ord", *fields).alias(f"_{name}")
+                F.struct(F.col("projectID").alias("id"), F.lit(name).alias("child")).alias("_key"),
+                F.col("seg").cast("long").alias("seg"),
+                F.struct("ord", *fields).alias(f"_{name}"),
             )
         )
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    hot = hot_keys(rows.select("id"), "id", limit)
+    hot = hot_keys(rows.select("_key"), "_key", limit)
     if hot is None:
-        keys = [F.col("id")]
+        keys = [F.col("_key.id").alias("id")]
     else:
-        rows = rows.join(hot.withColumn("_hot", F.lit(True)), "id", "left")
-        part = F.when(F.col("_hot"), F.col("seg") + 1).otherwise(0).cast("long")
-        keys = [F.col("id"), part.alias("part")]
+        order = [f"_{name}.ord" for name in children]
+        longer = dense_position(rows.join(hot, "_key", "left_semi"), "_key", "seg", order, "_pos")
+        longer = longer.withColumn("part", F.floor(F.col("_pos") / limit)).drop("_pos")
+        rows = rows.join(hot, "_key", "left_anti").withColumn("part", F.lit(0).cast("long"))
+        rows = rows.unionByName(longer)
+        keys = [F.col("_key.id").alias("id"), F.col("part")]
     lists = [F.sort_array(F.collect_list(f"_{name}")).alias(f"_{name}") for name in children]
     folded = rows.groupBy(*keys).agg(*lists)
     if hot is None:
@@ -65,8 +71,8 @@ def consolidate(
 ) -> DataFrame:
     """One wide row per project with its list columns and derived columns.
 
-    Projects above ``limit`` child rows continue in further rows (``part`` > 0) that repeat the
-    project's scalar columns; every list element appears in exactly one part.
+    A list above ``limit`` elements continues in further rows (``part`` > 0, by position) that repeat
+    the project's scalar columns; every list element appears in exactly one part.
     """
     children = {name: (getattr(store, name), cols) for name, cols in lists.items()}
     folded, was_split = fold_tables(children, limit)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_KEY = 500_000  # about 100 MB of child rows
+ROWS_PER_KEY = 500_000  # elements of a list in one row of the wide table; the layout rule of every project
 BROADCAST_ROWS = 200_000
 
 

@@ -122,6 +122,9 @@ def browse_queries() -> dict:
         "browse_page": _page(page=2),
         "browse_page_asc_nulls": _page(limit=25, sort_field="endDate", sort_order="asc"),
         "browse_page_desc_nulls": _page(page=16, limit=25, sort_field="totalCost"),
+        "browse_page_by_duration": _page(page=1, limit=20, sort_field="durationDays"),
+        "browse_page_by_contribution": _page(limit=20, sort_field="netEcContribution", sort_order="asc"),
+        "browse_deep_page": _page(limit=15, sort_field="durationDays", after=(40, 900)),
         "browse_search_regex": _page(Filters(search="^(AUTO|build).*nation_1[0-9]$")),
         "browse_status_unknown": _page(Filters(status="UNKNOWN"), limit=20, sort_field="id"),
         "browse_by_org": _page(

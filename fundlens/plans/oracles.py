@@ -81,6 +81,9 @@ _HAS_ORG = "EXISTS (SELECT 1 FROM organizations o WHERE o.projectID=p.id AND o.n
 _HAS_TOPIC = "EXISTS (SELECT 1 FROM vocabulary v WHERE v.projectID=p.id AND v.euroSciVocTitle='{}')"
 
 
+_DAYS = "datediff('day', startDate, endDate)"
+
+
 def _page(where: str, order: str, limit: int = 10, offset: int = 0) -> str:
     pairs = ", ".join(
         f"CASE WHEN top{i}_feature IS NOT NULL AND top{i}_shap IS NOT NULL "
@@ -150,6 +153,14 @@ def browse_oracles() -> dict[str, str]:
         "browse_page": _page("true", "startDate DESC NULLS FIRST, id", 10, 20),
         "browse_page_asc_nulls": _page("true", "endDate ASC NULLS FIRST, id", 25),
         "browse_page_desc_nulls": _page("true", "totalCost DESC NULLS FIRST, id", 25, 400),
+        "browse_page_by_duration": _page("true", f"{_DAYS} DESC NULLS FIRST, id", 20, 20),
+        "browse_page_by_contribution": _page(
+            "true",
+            "(SELECT CASE WHEN count(*)>0 THEN coalesce(sum(netEcContribution), 0) END FROM organizations o "
+            "WHERE o.projectID=p.id) ASC NULLS FIRST, id",
+            20,
+        ),
+        "browse_deep_page": _page(f"({_DAYS}=40 AND id>900) OR {_DAYS}<40", f"{_DAYS} DESC, id", 15),
         "browse_search_regex": _page(
             "regexp_matches(lower(title), '^(auto|build).*nation_1[0-9]$')",
             "startDate DESC NULLS FIRST, id",

@@ -24,7 +24,7 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    return turns.select(F.concat_ws("/", "conv_id", "turn").alias("query_id"), "text")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,14 +135,14 @@ def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole question path: chunks and documents, both searches, re-rank, redundancy, prompt."""
     docs, questions = _docs(spark, sf_dir), _user_turns(spark, sf_dir)
-    pieces = chunks.chunk(docs).select((F.col("id") * 100_000 + F.col("chunk_no")).alias("id"), F.col("chunk").alias("text"))
+    pieces = chunks.chunk(docs).select(F.concat_ws("/", "id", "chunk_no").alias("id"), F.col("chunk").alias("text"))
     pieces = vectors.embed_texts(pieces)
     probes = vectors.embed_texts(questions, "text", "vector").select("query_id", "vector")
     dense = vectors.vector_search(pieces, probes, hybrid.DEPTH)
     found = lexical.bm25_search(lexical.build_index(docs), questions, hybrid.DEPTH, match="any")
     whole = vectors.embed_texts(docs)
     hits = (
-        dense.select("query_id", "id").join(pieces, "id").withColumn("id", F.floor(F.col("id") / 100_000))
+        dense.select("query_id", "id").join(pieces, "id").withColumn("id", F.substring_index("id", "/", 1).cast("long"))
         .unionByName(found.select("query_id", "id").join(whole, "id"))
         .join(probes, "query_id")
     )
@@ -228,7 +228,7 @@ _POSTINGS = (
     + ", post AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY 1,2)"
 )
 _PASSAGES = "SELECT item_id AS id, text FROM benchmark"
-_TURNS = "SELECT conv_id*1000+turn AS id, text FROM conversations WHERE role='user'"
+_TURNS = "SELECT conv_id || '/' || turn AS id, text FROM conversations WHERE role='user'"
 
 
 def _scores(queries: str) -> str:

@@ -64,11 +64,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The application's own folder inside the shared folder."""
+    return f"{shared_dir(spark)}/fundlens-{spark.sparkContext.applicationId}"
+
+
+def close_run(spark: SparkSession) -> None:
+    """Delete what this application has written with ``materialize``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage by writing to the shared folder and reading back.
 
     The files survive the loss of executors, and later jobs read only the columns they need.
     """
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

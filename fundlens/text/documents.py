@@ -91,8 +91,8 @@ def wide_documents(wide: DataFrame) -> DataFrame:
 def build_documents(projects: DataFrame, store: Store, limit: int = ROWS_PER_KEY) -> DataFrame:
     """(id, part, text, startDate, endDate, status, legalBasis).
 
-    ``projects`` carries the scored columns. A project above ``limit`` child rows comes as several
-    consecutive parts; its header is in the first and its objective in the last one.
+    ``projects`` carries the scored columns. A project with a list above ``limit`` elements comes as
+    several consecutive parts; its header is in the first and its objective in the last one.
     """
     lines = store.organizations.select("projectID", "ord", "seg", member_line().alias("line"))
     folded, was_split = fold_tables(

@@ -10,8 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# A word may contain single points ("e.g" is one word).
-WORD = r"[\p{L}\p{N}_]+(\.?[\p{L}\p{N}_]+)*"
+# A word may contain single points ("e.g" is one word). Runs of word characters and
+# points are found with one class, so that a long run needs no recursion; points at the ends go.
+RUN = r"[\p{L}\p{N}_.]++"
+POINTS = r"\.{2,}+"
 MIN_LENGTH = 2
 
 # Stop words of the lexical index.
@@ -24,7 +26,9 @@ STOP_WORDS = (
 def words(text: str | Column) -> Column:
     """Array of index words in text order."""
     text = F.col(text) if isinstance(text, str) else text
-    found = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    parted = F.regexp_replace(F.lower(text), POINTS, " ")
+    runs = F.regexp_extract_all(parted, F.lit(RUN), F.lit(0))
+    found = F.transform(runs, lambda w: F.btrim(w, F.lit(".")))
     return F.filter(found, lambda w: (F.length(w) >= MIN_LENGTH) & ~w.isin(STOP_WORDS))
 
 

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from fundlens.session import local_session, ship_package
+from fundlens.session import close_run, local_session, ship_package
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -16,6 +16,7 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     ship_package(session)
     yield session
+    close_run(session)
     session.stop()
 
 

@@ -159,7 +159,7 @@ def test_hot_project_is_split_and_unfolds_whole(spark):
     kids = children(spark, rows, "projectID long, seq int, v string").withColumn("seg", F.floor(F.col("seq") / 25))
     wide, split = fold.fold_tables({"k": (kids, {"v": "vs"})}, limit=50)
     parts = wide.filter("id = 1").orderBy("part").collect()
-    assert split and len(parts) == 8 and max(len(p["vs"]) for p in parts) == 25
+    assert split and [len(p["vs"]) for p in parts] == [50] * 4
     assert [v for p in parts for v in p["vs"]] == [f"v{i}" for i in range(200)]
     assert wide.filter("id <> 1").filter("part <> 0").count() == 0
     back = sorted((r["id"], r["pos"], r["v"]) for r in fold.unfold(wide, {"v": "vs"}).collect())
@@ -168,7 +168,7 @@ def test_hot_project_is_split_and_unfolds_whole(spark):
 
 def test_split_consolidation_keeps_results(spark, store):
     plain = fold.consolidate(store)
-    parted = fold.consolidate(store, limit=60)
+    parted = fold.consolidate(store, limit=3)
     assert parted.filter("part > 0").count() > 0
     cols = ["id", "netEcContribution", "ecRatio", "startYear"]
     pick = lambda df: {
@@ -182,7 +182,7 @@ def test_split_consolidation_keeps_results(spark, store):
 
 def test_store_from_wide(store):
     """Browsing the wide table gives what browsing the long tables gives, split projects included."""
-    for limit in (50_000, 40):
+    for limit in (50_000, 3):
         back = fold.store_from_wide(fold.consolidate(store, limit=limit))
         wanted = Filters(country="NATION_3", status="closed")
         assert back.projects.count() == store.projects.count()
@@ -325,3 +325,33 @@ def test_slices_have_exact_sizes_and_do_not_overlap(spark):
     assert sizes[1, 0] == round(n1 * 0.8) and sizes[0, 0] == round((5003 - n1) * 0.8)
     again = ordering.stratified_slices(df.repartition(7), "id", "label", [0.8, 0.2], 42)
     assert cut.exceptAll(again).count() == 0
+
+
+def test_parts_depend_on_the_list_alone(spark):
+    """The element at position p is in part p div limit, whichever tables are folded with it."""
+    rows = [(1, i, f"v{i}") for i in range(45)] + [(2, i, f"w{i}") for i in range(10)] + [(3, 0, "x")]
+    kids = children(spark, rows, "projectID long, seq int, v string").withColumn("seg", F.floor(F.col("seq") / 7))
+    few = children(spark, [(1, i, f"u{i}") for i in range(5)], "projectID long, seq int, u string")
+    want = {(k, i // 10): [v for k2, j, v in rows if k2 == k and j // 10 == i // 10] for k, i, _ in rows}
+    for tables in ({"k": (kids, {"v": "vs"})}, {"f": (few, {"u": "us"}), "k": (kids, {"v": "vs"})}):
+        wide, _ = fold.fold_tables(tables, limit=10)
+        got = {(r["id"], r["part"]): r["vs"] for r in wide.collect()}
+        assert got == want
+
+
+def test_sort_by_derived_columns(spark, store):
+    rows = {r["id"]: r for r in fold.derived_projects(store).collect()}
+    for field in ("durationDays", "startYear", "netEcContribution", "ecRatio"):
+        page = [r["id"] for r in browse.list_projects(store, limit=30, sort_field=field, sort_order="asc").collect()]
+        nulls_first = sorted(rows, key=lambda i: (rows[i][field] is not None, rows[i][field] or 0, i))
+        assert page == nulls_first[:30]
+        last = rows[page[-1]][field]
+        beyond = browse.list_projects(store, limit=5, sort_field=field, sort_order="asc", after=(last, page[-1]))
+        assert [r["id"] for r in beyond.collect()] == nulls_first[30:35]
+
+
+def test_running_totals_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "BROADCAST_GROUPS", 1)
+    df = spark.createDataFrame([(g, v, 1) for g in range(5) for v in range(20)], "g int, v int, n int")
+    got = {(r["g"], r["v"]): r["cum_n"] for r in ordering.running_totals(df, "g", "v", ["n"], 5).collect()}
+    assert got == {(g, v): v + 1 for g in range(5) for v in range(20)}

@@ -230,3 +230,27 @@ def test_documents_of_a_hot_project_are_whole(spark, sf):
 def test_shown_number(spark):
     df = spark.createDataFrame([(12345678.0,), (1.5,), (123456789.25,), (None,)], "x double")
     assert [r[0] for r in df.select(documents.shown_number("x")).collect()] == ["12345678.0", "1.5", "123456789.25", "None"]
+
+
+def test_long_dotted_run(spark):
+    """A run of 100,000 dotted parts is one word and needs no recursion."""
+    text = ".".join(["a"] * 100_000)
+    row = spark.createDataFrame([(text, "..e.g. x..yy .zz. a.b..c.d")], "t string, s string").select(words("t").alias("t"), words("s").alias("s")).first()
+    assert row["t"] == [text] and row["s"] == ["e.g", "yy", "zz", "a.b", "c.d"]
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_vector_search_with_text_ids(spark, monkeypatch, many):
+    if many:
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+        monkeypatch.setattr(vectors, "CELL_ROWS", 7)
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(20, 4)).astype(np.float32)
+    numbers = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, embedding array<float>")
+    texts = numbers.withColumn("id", F.format_string("p%02d", "id"))
+    probe = lambda df: df.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    plain = vectors.vector_search(numbers, probe(numbers), 3)
+    named = vectors.vector_search(texts, probe(texts), 3)
+    assert [t for _, t in named.dtypes][:2] == ["string", "string"]
+    want = {(f"p{r['query_id']:02d}", f"p{r['id']:02d}", r["rank"]) for r in plain.collect()}
+    assert {(r["query_id"], r["id"], r["rank"]) for r in named.collect()} == want
