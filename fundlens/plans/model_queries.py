@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,11 +51,11 @@ AMOUNTS = ["totalCost", "ecMaxContribution", "durationDays"]
 
 
 def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordering.exact_medians(_amounts(spark, sf_dir), AMOUNTS)
+    return ordering.exact_medians(materialize(_amounts(spark, sf_dir).select(*AMOUNTS)), AMOUNTS)
 
 
 def impute_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _amounts(spark, sf_dir)
+    df = materialize(_amounts(spark, sf_dir).select("id", *AMOUNTS))
     fitted = preprocess.fit_preprocessor(df, AMOUNTS, [], [])
     scaled = fitted.scaled(df).select("id", *AMOUNTS)
     return ordering.melt(scaled, AMOUNTS, ["id"]).withColumn("value", F.round("value", 6))
@@ -68,9 +69,10 @@ def onehot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entry_counts(fitted: preprocess.Preprocessor, df: DataFrame) -> DataFrame:
-    rows = fitted.transform(df).select(vector_to_array("features").alias("x"))
-    pairs = rows.select(F.inline(trees.named_pairs("x", fitted.names)))
-    return pairs.groupBy(F.col("name").alias("feature")).agg(F.sum("value").cast("long").alias("n"))
+    """Sums of all columns in one pass; only the one result row is taken apart."""
+    sums = fitted.transform(df).select(Summarizer.metrics("sum").summary(F.col("features")).alias("s"))
+    pairs = sums.select(F.inline(trees.named_pairs(vector_to_array("s.sum"), fitted.names)))
+    return pairs.select(F.col("name").alias("feature"), F.col("value").cast("long").alias("n"))
 
 
 def multilabel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
