@@ -15,6 +15,8 @@ without sentences are like each other with 1 and like others with 0. Repeated ro
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,20 +32,29 @@ def _sum(a: Column, b: Column, modulo: int) -> Column:
     return F.zip_with(a, b, lambda x, y: F.pmod(x + y, F.lit(modulo)))
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once: a name bound by a function over one element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def vector(text: Column) -> Column:
     """Struct of the ``strong`` and ``tally`` lanes and the number ``n`` of sentences."""
     text = F.coalesce(text, F.lit(""))
     digests = F.transform(F.split(text, "\n"), lambda p: F.unhex(F.sha2(p, 256)))
     lanes = lambda d: F.array(*[F.pmod(F.xxhash64(F.lit(k), d), F.lit(LANE)) for k in range(STRONG)])
-    hashes = F.transform(F.array_remove(F.split(text, SENTENCE), ""), lambda s: F.xxhash64(s))
+    sentences = F.transform(F.array_remove(F.split(text, SENTENCE), ""), lambda s: F.xxhash64(s))
     bits = F.sequence(F.lit(0), F.lit(TALLY - 1))
-    # each lane's ones are counted over all sentences; +1 and -1 follow from the count
-    ones = F.transform(bits, lambda k: F.aggregate(hashes, F.lit(0), lambda n, h: n + F.getbit(h, k).cast("int")))
-    n = F.size(hashes)
-    return F.struct(
-        F.aggregate(digests, F.array_repeat(F.lit(0).cast("long"), STRONG), lambda acc, d: _sum(acc, lanes(d), LANE)).alias("strong"),
-        F.transform(ones, lambda c: F.pmod(2 * c - n, F.lit(SMALL))).alias("tally"),
-        n.alias("n"),
+
+    def both(hashes):
+        # each lane's ones are counted over all sentences; +1 and -1 follow from the count
+        ones = lambda k: F.aggregate(hashes, F.lit(0), lambda n, h: n + F.getbit(h, k).cast("int"))
+        tally = F.transform(bits, lambda k: F.pmod(2 * ones(k) - F.size(hashes), F.lit(SMALL)))
+        return F.struct(tally.alias("tally"), F.size(hashes).alias("n"))
+
+    strong = F.aggregate(digests, F.array_repeat(F.lit(0).cast("long"), STRONG), lambda acc, d: _sum(acc, lanes(d), LANE))
+    return _with(
+        F.struct(strong.alias("strong"), _with(sentences, both).alias("rest")),
+        lambda v: F.struct(v["strong"].alias("strong"), v["rest"]["tally"].alias("tally"), v["rest"]["n"].alias("n")),
     )
 
 
