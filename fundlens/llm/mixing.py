@@ -21,7 +21,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -33,6 +33,7 @@ MOST = 3  # times a source's size that the mix may take
 BLOCK_WORDS = 20_000
 SHARD_WORDS = 200_000  # a table of terabytes takes some ten million
 RUN = 1024  # blocks whose words are summed before the running sum
+BROADCAST_SOURCES = 50_000
 SEED = 20
 TOP_NODES = 4096  # nodes of the tree that a task remembers; others are drawn again, with the same result
 
@@ -93,6 +94,12 @@ class Tree:
         return out
 
 
+def _rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A table of one row per source, broadcast while the driver's list of them is short."""
+    table = spark.createDataFrame(rows, ddl)
+    return F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table
+
+
 def _cut_blocks(blocks: DataFrame, plan: DataFrame) -> DataFrame:
     """(k, place, before): the block of each source in which its last pass ends, and the words before it.
 
@@ -126,7 +133,8 @@ def plan_mix(sized: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOC
     if not plan:
         return plan
     spark = sized.sparkSession
-    small = spark.createDataFrame(
+    small = _rows(
+        spark,
         [tuple(p[c] for c in ("k", "source", "n", "rest", "factor", "offset")) for p in plan],
         "k long, source string, n long, rest long, factor long, offset long",
     )
@@ -135,7 +143,7 @@ def plan_mix(sized: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOC
     cut = _cut_blocks(blocks, small.drop("source"))
     cuts = {r["k"]: r for r in cut.collect()}
     if cuts:
-        ends = spark.createDataFrame([(r["k"], r["block"], r["rest"] - r["before"]) for r in cuts.values()], "k long, block long, left long")
+        ends = _rows(spark, [(r["k"], r["block"], r["rest"] - r["before"]) for r in cuts.values()], "k long, block long, left long")
         docs = keyed.join(ends, ["k", "block"]).filter("size > 0").groupBy("k", "u", "left").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"))
         before = F.coalesce(F.sum("w").over(Window.partitionBy("k").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         last = docs.withColumn("before", before).filter((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("w")))
@@ -188,7 +196,7 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOCK_WO
     sized = docs.withColumns({names["mix_u"]: u, names["mix_size"]: F.size(words(F.col("text"))).cast("long")})
     light = materialize(sized.select("source", F.col(names["mix_u"]).alias("u"), F.col(names["mix_size"]).alias("size")))
     plan = plan_mix(light, weights, block_words)
-    small = docs.sparkSession.createDataFrame([(p["k"], p["source"]) for p in plan], f"`{names['mix_k']}` long, mix_source string")
+    small = _rows(docs.sparkSession, [(p["k"], p["source"]) for p in plan], f"`{names['mix_k']}` long, mix_source string")
     keyed = sized.join(small, sized["source"].eqNullSafe(small["mix_source"])).select(*docs.columns, *(names[c] for c in ("mix_k", "mix_u", "mix_size")))
     total = sum(p["target"] for p in plan)
     shards = 1 << max(0, math.ceil(math.log2(max(total / shard_words, 1))))
