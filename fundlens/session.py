@@ -69,10 +69,16 @@ def run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/fundlens-{spark.sparkContext.applicationId}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as its object."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
 def close_run(spark: SparkSession) -> None:
     """Delete what this application has written with ``materialize``."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    fs, path = file_system(spark, run_dir(spark))
+    fs.delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fundlens.functions.casts import cast_dataset, combine
 from fundlens.functions.cells import clean_cells, parse_lines, split_cells
 from fundlens.model import DATASETS
+from fundlens.session import file_system
 
 BLOCK_SPAN = 1 << 44  # larger than any byte offset in a file
 
@@ -17,13 +18,15 @@ def discover(spark: SparkSession, root: str, dataset: str) -> list[tuple[str, st
 
     Only the file listing is read (one file per folder), never file content.
     """
+    fs, path = file_system(spark, root)
+    parent = path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
     folders = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", f"{dataset}.csv")
         .option("recursiveFileLookup", "true")
         .load(root)
         .select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"))
-        .filter(F.regexp_extract("path", r"^(.*)/[^/]+/[^/]+$", 1).endswith(root.rstrip("/")))
+        .filter(F.regexp_extract("path", r"^(.*)/[^/]+/[^/]+$", 1)== parent)
     )
     return sorted((r["folder"], r["path"]) for r in folders.collect())
 
@@ -74,7 +77,7 @@ def read_dataset(spark: SparkSession, root: str, dataset: str) -> DataFrame | No
     return combine(frames, dataset) if frames else None
 
 
-def read_all(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Every dataset that occurs under the root."""
-    found = {name: read_dataset(spark, root, name) for name in DATASETS}
+def read_all(spark: SparkSession, root: str, names: list[str] = DATASETS) -> dict[str, DataFrame]:
+    """Every dataset of ``names`` that occurs under the root."""
+    found = {name: read_dataset(spark, root, name) for name in names}
     return {name: df for name, df in found.items() if df is not None}

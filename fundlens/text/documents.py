@@ -61,7 +61,7 @@ def member_line() -> Column:
     """Line of one organisation row."""
     return _member(
         shown("name"), shown("city"), shown("country"), shown("activityType"), shown_number("ecContribution"),
-        F.col("SME"),
+        F.col("SME").cast("boolean"),
     )
 
 

@@ -3,11 +3,14 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from fundlens.functions import casts, cells
+from fundlens.operators import browse
 from fundlens.plans import build
 from fundlens.plans.ingest_queries import ORGANIZATION_HEADER, PROJECT_HEADER
 from fundlens.sources import dirty, tables
+from fundlens.text import documents, lexical, vectors
 from tests.helpers import plan
 
 DAY = ["2020-01-01", "2021-02-03"]
@@ -157,21 +160,34 @@ def test_folders_to_consolidated(spark, tmp_path):
     assert [f for f, _ in dirty.discover(spark, str(root), "webItem")] == ["H2020"]
     store = build.ingest(spark, str(root), out)
     projects = {r["id"]: r for r in store.projects.collect()}
-    assert len(projects) == 9 and projects["11"]["title"] == "P11;rest"
-    assert projects["11"]["programmeFolder"] == "H2020" and projects["11"]["startDate"] == datetime.date(2020, 1, 1)
+    assert len(projects) == 9 and projects[11]["title"] == "P11;rest"
+    assert projects[11]["programmeFolder"] == "H2020" and projects[11]["startDate"] == datetime.date(2020, 1, 1)
     pubs = {r["projectID"]: r for r in store.publications.collect()}
-    assert pubs["20"]["isPublishedAs"] == "Book" and pubs["20"]["publishedYear"] is None and pubs["10"]["title"] == "New"
+    assert pubs[20]["isPublishedAs"] == "Book" and pubs[20]["publishedYear"] is None and pubs[10]["title"] == "New"
     items = spark.read.parquet(f"{out}/webItem_all.parquet").orderBy("uri").collect()
     assert [r["projectID"] for r in items] == [55, None]
 
     clean = build.build_consolidated(spark, store, out)
     rows = {r["id"]: r for r in clean.collect()}
-    assert len(rows) == 6 and "0" not in rows
-    ten = rows["10"]
+    assert len(rows) == 6 and 0 not in rows
+    ten = rows[10]
     assert ten["list_name"] == ["Org0;x", "Org1;x"] and ten["list_totalCost"] == [7.5, 7.5]
     assert ten["netEcContribution"] == 11.0 and ten["ecRatio"] == 1.1 and ten["durationDays"] == 399
     assert ten["list_title"] == ["New"] and ten["list_title_report"] == ["Rep"] and ten["list_title_legal"] == ["t"]
-    assert rows["11"]["list_title"] is None and rows["11"]["part"] == 0
+    assert rows[11]["list_title"] is None and rows[11]["part"] == 0
+
+    page = browse.list_projects(store, sort_field="netEcContribution", limit=20).collect()
+    assert [r["id"] for r in page] == [0, 1, 2, 10, 11, 12, 20, 21, 22]  # equal amounts: by number, not by text
+    assert {r["country"] for r in browse.project_organizations(store, "11").collect()} == {"BE"}
+    scored = store.projects.select("*", *[F.lit(None).cast("string").alias(f"top{i}_feature") for i in (1, 2, 3)],
+        *[F.lit(0.0).alias(f"top{i}_shap") for i in (1, 2, 3)], F.lit(1).alias("predicted_label"), F.lit(0.7).alias("predicted_prob"))
+    texts = documents.build_documents(scored, store).select("id", "text")
+    index = lexical.build_index(texts, stemmed=False)
+    found = lexical.bm25_search(index, spark.createDataFrame([("q", "11")], "query_id string, text string"), 3)
+    assert [r["id"] for r in found.collect()] == [11]
+    vectors_ = vectors.embed_texts(texts)
+    near = vectors.vector_search(vectors_, vectors_.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), 1)
+    assert near.count() == 9 and all(r["distance"] == 0 for r in near.collect())
 
 
 def test_line_order_in_a_split_file(spark, tmp_path):
