@@ -82,17 +82,21 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """Passages against documents; a document's vector is the one with its number."""
-    index = lexical.build_index(_docs(spark, sf_dir), stemmed=False)
-    queries = _passages(spark, sf_dir)
-    vecs = _vectors(spark, sf_dir)
-    held = vecs.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    probes = queries.join(vecs.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
-    found = lexical.bm25_search(index, queries, k, match="any")
-    near = vectors.vector_search(held, probes.select("query_id", "vector"), k)
+    """Passages against all documents, by words and by the vectors of their texts."""
+    docs, queries = _docs(spark, sf_dir), _passages(spark, sf_dir)
+    found = lexical.bm25_search(lexical.build_index(docs, stemmed=False), queries, k, match="any")
+    probes = vectors.embed_texts(queries, "text", "vector").select("query_id", "vector")
+    near = vectors.vector_search(vectors.embed_texts(docs), probes, k)
     return hybrid.hybrid_search(found, near, k)
 
 
+def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-zero entries of the vectors of all documents."""
+    embedded = vectors.embed_texts(_docs(spark, sf_dir)).select("id", F.posexplode("embedding").alias("bucket", "value"))
+    value = F.round(F.col("value").cast("double"), 5)
+    return embedded.filter("value > 0").select("id", F.col("bucket").cast("long").alias("bucket"), value.alias("value"))
+
+
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir, 4)
 
@@ -199,6 +203,7 @@ def text_queries() -> dict:
         "bm25_all_terms": bm25_all,
         "bm25_stemmed": bm25_stemmed,
         "text_vectors": text_vectors,
+        "document_vectors": document_vectors,
         "normalized_questions": normalized_questions,
         "vector_topk": vector_topk,
         "hybrid_topk": hybrid_topk,
@@ -222,6 +227,16 @@ def _tokens(name: str, source: str) -> str:
     )
 
 
+def _unit_vectors(name: str, source: str) -> str:
+    """Non-zero entries (id, bucket, v) of word-hash vectors of length one."""
+    return (
+        _tokens(f"{name}_t", f"(SELECT id, lower(trim(text, ' ')) AS text FROM {source})")
+        + f", {name}_n AS (SELECT id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64 AS bucket, count(*)::DOUBLE AS n "
+        f"FROM {name}_t GROUP BY 1,2), {name} AS (SELECT id, bucket, "
+        f"(n/sqrt(sum(n*n) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS v FROM {name}_n)"
+    )
+
+
 _POSTINGS = (
     _tokens("tok", "(SELECT doc_id AS id, text FROM documents)")
     + ", dl AS (SELECT id, count(*) AS doc_len FROM tok GROUP BY 1)"
@@ -314,11 +329,19 @@ SELECT id, chunk_no, substr(text, chunk_no*650+1, 750) AS chunk FROM s""",
         "vector_topk": _ranked(_NEAR, 5, "distance"),
         "hybrid_topk": _scores(_PASSAGES)
         + f""", lex AS ({_ranked("SELECT query_id, id, score FROM sc", 4)}),
-den AS ({_ranked(f"SELECT q.item_id AS query_id, b.vec_id AS id, {_L2} AS distance FROM benchmark q JOIN embeddings a ON a.vec_id=q.item_id, embeddings b JOIN documents d ON d.doc_id=b.vec_id", 4, "distance")}),
+{_unit_vectors("dv", "(SELECT doc_id AS id, text FROM documents)")}, {_unit_vectors("qv", "(SELECT item_id AS id, text FROM benchmark)")},
+dot AS (SELECT qv.id AS query_id, dv.id, sum(qv.v*dv.v) AS s FROM qv JOIN dv USING (bucket) GROUP BY 1,2),
+apart AS (SELECT q.item_id AS query_id, d.doc_id AS id, round(greatest(coalesce((SELECT sum(v*v) FROM qv WHERE qv.id=q.item_id), 0)
+  + coalesce(n.s, 0) - 2*coalesce(dot.s, 0), 0), 6) AS distance
+  FROM benchmark q CROSS JOIN documents d LEFT JOIN dot ON dot.query_id=q.item_id AND dot.id=d.doc_id
+  LEFT JOIN (SELECT id, sum(v*v) AS s FROM dv GROUP BY 1) n ON n.id=d.doc_id),
+den AS ({_ranked("SELECT * FROM apart", 4, "distance")}),
 f AS (SELECT query_id, id, round(sum(1.0::DOUBLE/(60+rank)), 9) AS score FROM
   (SELECT query_id, id, rank FROM lex UNION ALL SELECT query_id, id, rank FROM den) GROUP BY 1,2)
 """
         + _ranked("SELECT * FROM f", 4),
+        "document_vectors": "WITH " + _unit_vectors("dv", "(SELECT doc_id AS id, text FROM documents)")
+        + " SELECT id, bucket, round(v, 5) AS value FROM dv",
         "rerank_cosine": f"""
 WITH near AS ({_ranked(_NEAR, 10, "distance")})
 """

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from check_oracle import TABLES, compare
 
-SLOW = {"status_scores", "calibrated_scores", "tuned_search", "train_eval", "anomaly_scores", "answer_prompts"}
+SLOW = {"status_scores", "calibrated_scores", "tuned_search"}  # trained in test_model.py
 
 
 @pytest.fixture(scope="module")
