@@ -91,42 +91,47 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "vector") -> D
 
 
 def _next_ids(ids: DataFrame) -> DataFrame:
-    """(key, next_key) over distinct ``doc_id``s: the next in descending order, null last, then the first.
+    """``ids`` with ``after``, a struct of the next ``doc_id`` in descending order: null last, then the first.
 
-    Ids are dealt by range; inside a range a window gives the next, and one row per range tells the
-    first id of the range below.
+    ``ids`` has distinct ids. They are dealt by range; inside a range a window gives the next, and one row
+    per range tells the first id of the range below.
     """
-    dealt = materialize(ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
-    down = F.col("doc_id").desc_nulls_last()
-    ends = dealt.groupBy("part").agg(F.max_by("key", F.struct(F.col("doc_id").isNotNull().alias("own"), "doc_id")).alias("top"))
+    own = F.struct("doc_id").alias("own")
+    dealt = materialize(ids.repartitionByRange("doc_id").select("*", own, F.spark_partition_id().alias("part")))
+    ends = dealt.groupBy("part").agg(F.max_by("own", F.struct(F.col("doc_id").isNotNull().alias("is"), "doc_id")).alias("top"))
     below = Window.orderBy("part")  # one row per range
-    tops = ends.select("part", F.lag("top").over(below).alias("lower"), F.last("top").over(below.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("first"))
-    inside = Window.partitionBy("part").orderBy(down)
-    linked = dealt.withColumn("next", F.lead("key").over(inside)).join(tops, "part")
-    return linked.select("key", F.coalesce("next", "lower", "first").alias("next_key"), "take")
+    whole = below.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tops = ends.select("part", F.lag("top").over(below).alias("lower"), F.last("top").over(whole).alias("top"))
+    inside = Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last())
+    linked = dealt.withColumn("next", F.lead("own").over(inside)).join(tops, "part")
+    return linked.select(*ids.columns, F.coalesce("next", "lower", "top").alias("after"))
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_chars, vector, edited, next_vector): each text, and it with its last third replaced.
+    """(doc_id, text, n_chars, edited, next_id, next_vector): each text, and it with its last third replaced.
 
     The last floor(n/3) code points give way to the first as many of the next document by descending id
     (after the last: the first). Of repeated rows of an id the next document is the one whose text has
-    the smallest hash; a text is shuffled once, and the third that its neighbour needs once more.
+    the smallest hash. Both joins read one exchange of the texts by id; only the part of a text that its
+    neighbour needs moves once more, with the text's vector.
     """
-    key = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("none"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = fingerprints(rows).select("doc_id", "text", key.alias("key"), F.xxhash64("text").alias("t"), F.char_length("text").alias("n_chars"), "vector")
-    light = docs.select("doc_id", key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = light.groupBy("doc_id", "key").agg(F.max(F.floor(F.char_length("text") / 3)).alias("take"), F.min(F.xxhash64("text")).alias("t"))
-    ids = materialize(ids)
-    nexts = _next_ids(ids.drop("t")).join(ids.select(F.col("key").alias("next_key"), F.col("t").alias("next_t")), "next_key")
-    asked = nexts.select(F.col("next_key").alias("key"), F.col("next_t").alias("t"), F.col("key").alias("for"), "take")
-    given = rows.join(asked, ["key", "t"]).select(
-        "for", F.struct(F.left("text", F.col("take")).alias("head"), F.col("vector").alias("next_vector")).alias("given")
+    key = lambda c: F.coalesce(F.concat(F.lit("i"), F.col(c).cast("string")), F.lit("none"))
+    rows = docs.select("doc_id", "text", key("doc_id").alias("key"))
+    text = F.coalesce("text", F.lit(""))
+    third = F.floor(F.char_length(text) / 3).cast("int")
+    ids = materialize(rows.groupBy("doc_id").agg(F.max(third).alias("take"), F.min(F.xxhash64(text)).alias("t")))
+    asked = _next_ids(ids.drop("t")).select(key("doc_id").alias("for"), "take", key("after.doc_id").alias("key"))
+    asked = asked.join(ids.select(key("doc_id").alias("key"), "t"), "key")
+    # a range test instead of an equality, so that the join stays on the key alone and shares its exchange
+    own = F.xxhash64(text)
+    met = rows.join(asked, "key").filter((own <= F.col("t")) & (own >= F.col("t")))
+    given = F.struct(F.left(text, F.col("take")).alias("head"), vector(text).alias("vector"), F.col("doc_id").alias("id"))
+    given = met.select("for", given.alias("given")).groupBy("for").agg(F.first("given").alias("given"))
+    full = rows.join(given.withColumnRenamed("for", "key"), "key").select(
+        "doc_id", text.alias("text"), F.char_length(text).alias("n"), third.alias("cut"), "given"
     )
-    given = given.groupBy("for").agg(F.first("given").alias("given"))
-    cut = F.floor(F.col("n_chars") / 3)
-    edited = F.concat(F.left("text", F.col("n_chars") - cut), F.left("given.head", cut))
-    return rows.join(given, rows["key"] == given["for"]).select(
-        "doc_id", "text", F.col("n_chars").cast("long").alias("n_chars"), "vector", edited.alias("edited"), F.col("given.next_vector").alias("next_vector")
+    edited = F.concat(F.left("text", F.col("n") - F.col("cut")), F.left("given.head", F.col("cut")))
+    return full.select(
+        "doc_id", "text", F.col("n").cast("long").alias("n_chars"), edited.alias("edited"),
+        F.col("given.id").alias("next_id"), F.col("given.vector").alias("next_vector"),
     )

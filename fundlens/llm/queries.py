@@ -51,7 +51,7 @@ def op6_toxicity(spark, sf_dir):
 
 def op7_multiset_fingerprint(spark, sf_dir):
     rows = multiset_hash.with_edits(documents(spark, sf_dir))
-    rows = multiset_hash.fingerprints(rows, "edited", "edited_vector")
+    rows = multiset_hash.fingerprints(multiset_hash.fingerprints(rows), "edited", "edited_vector")
     vector, edited, after = F.col("vector"), F.col("edited_vector"), F.col("next_vector")
     return rows.select(
         "doc_id",
@@ -61,6 +61,7 @@ def op7_multiset_fingerprint(spark, sf_dir):
         multiset_hash.digest(edited).alias("edited_fingerprint"),
         multiset_hash.likeness(vector, edited).alias("near_edited"),
         multiset_hash.likeness(vector, after).alias("near_next"),
+        "next_id",
     )
 
 
