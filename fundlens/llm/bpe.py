@@ -68,34 +68,48 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
 
 
+def _look_up(table: dict, ids: np.ndarray, piece: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rank and product of the pairs that begin at the places ``at``; pieces end in pairs without rank."""
+    after = np.minimum(at + 1, len(ids) - 1)
+    key = ids[at] << SHIFT | ids[after]
+    place = np.minimum(np.searchsorted(table["keys"], key), len(table["keys"]) - 1)
+    good = (table["keys"][place] == key) & (piece[at] == piece[after]) & (after > at)
+    return np.where(good, table["ranks"][place], NONE), table["products"][place]
+
+
 def merge_pieces(table: dict, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all pieces one after another, and the number of ids of each piece."""
-    keys, ranks, products = table["keys"], table["ranks"], table["products"]
+    """Ids of all pieces one after another, and the number of ids of each piece.
+
+    Ranks of pairs are kept between rounds; only the pairs at merged places are looked up again.
+    """
     ids = table["first"][np.frombuffer(b"".join(pieces), dtype=np.uint8)]
     piece = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
     done_ids, done_piece = [], []
+    if len(ids):
+        rank, product = _look_up(table, ids, piece, np.arange(len(ids)))
     while len(ids):
-        key = ids[:-1] << SHIFT | ids[1:]
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        rank = np.full(len(ids), NONE)
-        rank[:-1] = np.where((keys[at] == key) & (piece[:-1] == piece[1:]), ranks[at], NONE)
         begin = np.flatnonzero(np.diff(piece, prepend=-1))
         lowest = np.minimum.reduceat(rank, begin)
         size = np.diff(begin, append=len(ids))
         active = np.repeat(lowest < NONE, size)
-        hit = active & (rank == np.repeat(lowest, size))
-        where = np.flatnonzero(hit)
+        where = np.flatnonzero(active & (rank == np.repeat(lowest, size)))
         # in a run of equal neighbours every second place merges, from the left
         fresh = np.diff(where, prepend=-2) > 1
         run = np.flatnonzero(fresh)
         offset = np.arange(len(where)) - np.repeat(run, np.diff(run, append=len(where)))
         where = where[offset % 2 == 0]
-        ids[where] = products[at[where]]
         done_ids.append(ids[~active])
         done_piece.append(piece[~active])
+        ids[where] = product[where]
+        changed = np.zeros(len(ids), dtype=bool)
+        changed[where] = True
+        changed[np.maximum(where - 1, 0)] = True
         keep = active
         keep[where + 1] = False
-        ids, piece = ids[keep], piece[keep]
+        ids, piece, rank, product, changed = ids[keep], piece[keep], rank[keep], product[keep], changed[keep]
+        at = np.flatnonzero(changed)
+        if len(at):
+            rank[at], product[at] = _look_up(table, ids, piece, at)
     if not done_ids:
         return np.empty(0, dtype=np.uint32), np.zeros(len(pieces), dtype=np.int64)
     ids, piece = np.concatenate(done_ids), np.concatenate(done_piece)
@@ -135,26 +149,30 @@ class Encoder:
             out += [places[part]] if k % 2 else self.pattern.findall(part)
         return out
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and the number of ids of each text."""
         if len(self.known) > KNOWN:
             self.forget()
-        known, n, new, rows = self.known, len(self.sizes), [], []
+        known, n, new, places, counts = self.known, len(self.sizes), [], [], []
         for text in texts:
-            own = self.split(text or "")
-            row = np.empty(len(own), dtype=np.int64)
-            for k, p in enumerate(own):
-                if type(p) is int:
-                    row[k] = p
-                    continue
-                at = known.get(p)
+            before = len(places)
+            for p in self.split(text or ""):
+                at = p if type(p) is int else known.get(p)
                 if at is None:
                     known[p] = at = n + len(new)
                     new.append(p)
-                row[k] = at
-            rows.append(row)
+                places.append(at)
+            counts.append(len(places) - before)
         if new:
             self.add(new, [])
-        return [gather(self.flat, self.starts[r], self.sizes[r]) for r in rows]
+        at = np.array(places, dtype=np.int64)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        sizes = np.bincount(owner, weights=self.sizes[at], minlength=len(texts)).astype(np.int64)
+        return gather(self.flat, self.starts[at], self.sizes[at]), sizes
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        ids, sizes = self.encode_flat(texts)
+        return np.split(ids, np.cumsum(sizes)[:-1]) if texts else []
 
 
 def decode_ids(table: dict, ids: np.ndarray) -> str:
