@@ -1,8 +1,8 @@
 """License scans: ordered signature rules over word sequences, in DataFrame operations only.
 
-Texts become their words (A-Z in lower case, cut at ASCII signs and spaces) joined by single spaces. A
-few keywords decide which texts are scanned at all, and each family of rules runs only where its own
-keyword stands. Every rule is a regular expression over the words and gives the intervals where it
+Texts become their words (A-Z in lower case, cut at ASCII signs and spaces) joined by single spaces. Each
+family of rules runs only where its own keyword stands, and texts without any family's keyword are not
+scanned. Every rule is a regular expression over the words and gives the intervals where it
 matches; of overlapping detections one that lies inside an interval of higher priority, or of the same
 priority and greater length, is suppressed.
 
@@ -22,10 +22,6 @@ from fundlens.llm.shared import lower_ascii
 CUT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-GATE = (
-    r" (?:licen[sc]e[ds]?|licen[sc]ing|lizenz|lizenziert|licencia|sous licence|spdx|copyright|copyleft|gpl|lgpl|agpl|"
-    r"cc|public domain|redistributions?|warranty|unlicense|wtfpl) "
-)
 #: Families as (keyword, label, name, versions). A name is an expression over words; a
 #: version is written as its words; a label with a version gets "-version".
 FAMILIES = [
@@ -82,7 +78,8 @@ FAMILIES = [
     ("open", "osl", "open software", ["1 0", "2 0", "2 1", "3 0"]),
     ("common", "cpl", "common public", ["1 0"]),
     ("ibm", "ipl", "ibm public", ["1 0"]),
-    ("qt", "qpl", "q(?:t|pl) public", ["1 0"]),
+    ("qt", "qpl", "qt public", ["1 0"]),
+    ("qpl", "qpl", "qpl public", ["1 0"]),
     ("sleepycat", "sleepycat", "sleepycat", []),
     ("server", "sspl", "server side public", ["1"]),
     ("business", "busl", "business source", ["1 1"]),
@@ -133,6 +130,10 @@ def rules() -> list[tuple]:
     return sorted(found, key=lambda r: (-r[3], r[1], r[2]))
 
 
+#: Texts with the keyword of any rule; no rule matches elsewhere.
+GATE = " (?:" + "|".join(sorted({r[0] for r in rules()})) + ") "
+
+
 def word_line(text: Column) -> Column:
     """``^``, then every word behind a space, then a space."""
     line = F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), CUT, " "))

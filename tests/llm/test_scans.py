@@ -100,6 +100,25 @@ def test_license_labels(make_docs):
     assert set(got[3].split(",")) == {"cc-by-nc-4.0", "bsd-3.clause"}
 
 
+def test_every_rule_runs_where_its_words_stand(make_docs):
+    """Statements and names without the word license; no gate leaves a rule out."""
+    stated = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
+        "Permission to use, copy, modify, and distribute this software for any purpose": "isc",
+        "All rights reserved.": "proprietary",
+        "under the terms of the": "terms",
+        "released under MIT": "mit",
+        "released under Apache 2.0": "apache,apache-2.0",
+        "distributed under MPL 2.0": "mpl,mpl-2.0",
+        "BSD 3-clause": "bsd-3.clause",
+        "CC0 1.0": "cc0-1.0",
+        "QPL Public 1.0": "qpl-1.0",
+    }
+    rows = license_scan.scanned(make_docs(list(enumerate(stated)))).collect()
+    assert {r.text: r.scan.labels for r in rows} == stated
+    assert all(r.scan.score > 0 for r in rows)
+
+
 def test_secret_scan_held_out(spark):
     words = ["the", "and", "example"]
     findings = secret_scan.labelled_findings(spark, 800).withColumn("h", F.pmod(F.xxhash64("candidate", "before"), F.lit(4)))
