@@ -5,8 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fundlens.llm import bpe, language_id, license_scan, lm_score, mixing, multiset_hash, quality, secret_scan, simhash, toxicity
-from fundlens.llm.shared import documents, labels, remainder
+from fundlens.llm import (
+    bpe, collocations, embedding_dedup, language_id, license_scan, lm_score, mixing, multiset_hash, quality, secret_scan,
+    simhash, toxicity, word_runs,
+)
+from fundlens.llm.oracles import llm_oracles  # noqa: F401  registered beside the queries
+from fundlens.llm.shared import documents, labels, remainder, words
+from fundlens.session import ship_package
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -94,6 +99,51 @@ def op10_bpe_roundtrip(spark, sf_dir):
     return bpe_digest(bpe.encoded(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER))
 
 
+def op11_phrase_collocations(spark, sf_dir):
+    found = collocations.phrases(documents(spark, sf_dir), min_count=10, top=2000, share=50)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_embedding_dedup(spark, sf_dir):
+    ship_package(spark)
+    return embedding_dedup.grouped(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
+
+
+def with_repeats(docs):
+    """(doc_id, text): documents whose id's crc32 is a multiple of ten repeat some of their words to the end."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    due = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words(F.col("text"))).alias("w"))
+    n, g = F.size("w").cast("long"), F.expr("h div 10")
+    sized = due.select("doc_id", "text", "w", n.alias("n"), g.alias("g"), F.when(n > 0, g % n).alias("start"))
+    rest = F.col("n") - F.col("start")
+    period = sized.withColumn("rest", rest).withColumn("period", F.lit(1) + F.expr("rest div (3 + g % 8)"))
+    again = F.array_repeat(F.slice("w", F.col("start") + 1, F.col("period")), F.ceil(F.col("rest") / F.col("period")).cast("int"))
+    edited = F.concat(F.slice("w", F.lit(1), F.col("start")), F.slice(F.flatten(again), F.lit(1), F.col("rest")))
+    return period.select("doc_id", F.when(F.col("n") > 0, F.array_join(edited, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def runs_digest(rows):
+    """Counts, greatest run and digests of rows with ``runs`` and ``collapsed``."""
+    def better(best, run):
+        return F.when(best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"]), run).otherwise(best)
+
+    greatest = F.aggregate("runs", F.lit(None).cast("struct<start: long, length: long, period: long>"), better)
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    rows = rows.withColumn("greatest", greatest)
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "greatest.start", "greatest.length", "greatest.period",
+        F.expr("1000 * greatest.length div greatest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_word_runs(spark, sf_dir):
+    return runs_digest(word_runs.with_runs(with_repeats(documents(spark, sf_dir))))
+
+
 def llm_queries() -> dict:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
@@ -106,8 +156,7 @@ def llm_queries() -> dict:
         "op8_lm_score": op8_lm_score,
         "op9_language_id": op9_language_id,
         "op10_bpe_roundtrip": op10_bpe_roundtrip,
+        "op11_phrase_collocations": op11_phrase_collocations,
+        "op12_embedding_dedup": op12_embedding_dedup,
+        "op13_word_runs": op13_word_runs,
     }
-
-
-def llm_oracles() -> dict[str, str]:
-    return {}

@@ -1,0 +1,146 @@
+"""Phrases against counts of a plain loop; the index against all phrases of a text."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from fundlens.llm import collocations
+from fundlens.llm.fm_index import FMIndex
+
+PIECES, SPACES = re.compile(r"[.,;:!?\x0A-\x0D]"), re.compile(r"[\x20\x09]+")
+
+
+def lowered(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def grams(docs):
+    """lang: length: counts of phrases."""
+    found = defaultdict(lambda: {k: Counter() for k in (1, 2, 3)})
+    for text, lang in docs:
+        for piece in PIECES.split(lowered(text)):
+            words = [w for w in SPACES.split(piece) if w]
+            for k in (1, 2, 3):
+                found[lang or "und"][k].update(zip(*(words[i:] for i in range(k)), strict=False))
+    return found
+
+
+def brute(docs, least, top):
+    out = []
+    for lang, f in grams(docs).items():
+        n = sum(f[1].values())
+        often = {p: a for k in (2, 3) for p, a in f[k].items() if a >= least}
+        rows = []
+        for p, a in often.items():
+            holders = [b for longer, b in often.items() if len(longer) > len(p) and p in (longer[:2], longer[1:])]
+            if any(100 * b >= 50 * a for b in holders):
+                continue
+            cuts = [(10**6 * a * a // (f[k][p[:k]] * f[len(p) - k][p[k:]]), k) for k in range(1, len(p))]
+            score, k = min(cuts)
+            rows.append((" ".join(p), a, f[k][p[:k]], f[len(p) - k][p[k:]], n, score))
+        rows.sort(key=lambda r: (-r[5], -r[1], r[0].encode()))
+        out += [(lang, rank, *r) for rank, r in enumerate(rows[:top], 1)]
+    return sorted(out)
+
+
+def got(df):
+    return sorted(tuple(r) for r in df.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
+
+
+def made(rng, words=12, size=40):
+    text = [rng.choice(["aa", "Bb", "cc", "d\x1cd", "é", "字"] + [f"w{k}" for k in range(words)]) for _ in range(rng.randint(0, size))]
+    for k in range(0, len(text), 5):
+        text[k : k + 2] = [rng.choice(["New York City", "x y", "x  y\t x y", "end. of", "a\x0bb", "q!?"])]
+    return " ".join(text)
+
+
+@pytest.mark.parametrize(("shard", "least", "top"), [(1 << 20, 3, 2000), (7, 2, 2000), (2, 2, 6), (50, 4, 5)])
+def test_phrases_equal_brute_force(make_docs, shard, least, top):
+    rng = random.Random(shard)
+    docs = [(made(rng), rng.choice(["en", "de", None])) for _ in range(60)]
+    docs += [(None, "en"), ("", None), (" \t", "fr"), ("one", "fr"), *[("same words here again", "und")] * 5]
+    table = make_docs([(k, text, lang) for k, (text, lang) in enumerate(docs)])
+    assert got(collocations.phrases(table, least, top, shard=shard)) == brute(docs, least, top)
+
+
+def test_long_text_without_punctuation_is_cut_exactly(make_docs):
+    rng = random.Random(2)
+    docs = [(" ".join(rng.choice("abc") for _ in range(3000)), "en")]
+    table = make_docs([(1, *docs[0])])
+    collocations_of = lambda shard: got(collocations.phrases(table, 10, 50, shard=shard))
+    assert collocations_of(1 << 20) == brute(docs, 10, 50)
+
+
+def test_blocks_cut_between_words(monkeypatch, make_docs):
+    monkeypatch.setattr(collocations, "BLOCK", 10)
+    data = b"some words  and a verylongwordthatgoeson end\n"
+    assert b"".join(collocations._blocks(data)) == data
+    assert [t for b in collocations._blocks(data) for t in b.split(b" ") if t] == [t for t in data.split(b" ") if t]
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 11, 40])
+def test_cut_shards_add_up(monkeypatch, size):
+    """Shards of a text cut after every few words, the repeated words taken away."""
+    monkeypatch.setattr(collocations, "BLOCK", 4)
+    import pyarrow as pa
+
+    text = "a b c a b. c a b c, a a a b c; b c b c a b"
+    batch = pa.RecordBatch.from_pydict({"text": [text, text], "lang": ["x", "x"]})
+    total = Counter()
+    for row in collocations._shards(iter([batch]), size):
+        r = row.to_pylist()[0]
+        names = {k + 1: w for k, w in enumerate(r["vocab"])}
+        index = FMIndex(np.frombuffer(r["ids"], dtype=np.int32).astype(np.int64))
+        words = index.words()
+        assert [r["sign"] * int(v) for v in words.n] == r["counts"]
+        total.update({(names[k + 1],): r["sign"] * int(v) for k, v in enumerate(words.n)})
+        left, right, two = index.extend_right(words)
+        total.update({(names[a + 1], names[b]): r["sign"] * int(v) for a, b, v in zip(left, right, two.n, strict=True)})
+        which, before, three = index.extend_left(two)
+        for a, b, v in zip(which, before, three.n, strict=True):
+            total[names[b], names[left[a] + 1], names[right[a]]] += r["sign"] * int(v)
+    want = grams([(text, "x"), (text, "x")])["x"]
+    assert {p: v for p, v in total.items() if v} == dict(want[1] + want[2] + want[3])
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_index_extends_both_ways(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(40):
+        ids = rng.integers(0, rng.integers(2, 9), rng.integers(0, 60))
+        x = ids.tolist()
+        want = lambda k, x=x: Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1) if 0 not in x[i : i + k])
+        index = FMIndex(ids)
+        one = index.words()
+        assert {(k + 1,): n for k, n in enumerate(one.n.tolist()) if n} == want(1)
+        at, after, two = index.extend_right(one)
+        pairs = list(zip((at + 1).tolist(), after.tolist(), strict=True))
+        assert dict(zip(pairs, two.n.tolist(), strict=True)) == want(2)
+        at, before, three = index.extend_left(two)
+        assert {(b, *pairs[a]): n for a, b, n in zip(at.tolist(), before.tolist(), three.n.tolist(), strict=True)} == want(3)
+        at, before, two = index.extend_left(one)
+        pairs = list(zip(before.tolist(), (at + 1).tolist(), strict=True))
+        at, after, three = index.extend_right(two)
+        assert {(*pairs[a], b): n for a, b, n in zip(at.tolist(), after.tolist(), three.n.tolist(), strict=True)} == want(3)
+
+
+def test_large_counts_are_exact(spark):
+    """Products beyond 64 bits."""
+    big = 9_876_543_210_987
+    words = spark.createDataFrame([("en", "x", big, 0, 4 * big), ("en", "y", big + 2, 1, 4 * big)], "lang string, word string, f long, w long, total long")
+    pairs = spark.createDataFrame([(0, 1, big - 5)], "w1 long, w2 long, f long")
+    triples = spark.createDataFrame([], "w1 long, w2 long, w3 long, f long")
+    row = collocations.scored(words, pairs, triples).first()
+    assert row.score == 10**6 * (big - 5) ** 2 // (big * (big + 2))
+
+
+def test_odd_rows(make_docs, odd_rows):
+    table = make_docs(odd_rows)
+    docs = [(r[1], r[2]) for r in odd_rows]
+    assert got(collocations.phrases(table, 2, 100)) == brute(docs, 2, 100)
+    renamed = table.withColumnRenamed("source", "w1").withColumnRenamed("n_chars", "shard")
+    assert got(collocations.phrases(renamed, 2, 100)) == brute(docs, 2, 100)
+    assert collocations.phrases(make_docs([])).count() == 0
