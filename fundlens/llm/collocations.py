@@ -25,7 +25,7 @@ table gives an empty one; further columns of the documents are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -42,13 +42,14 @@ OPEN = 64  # languages that a task has open
 BLOCK = 1 << 20  # bytes of a text that are cut into words at a time
 TAIL = 2  # words that a cut text's next shard repeats
 SALTS = 8
+PART = 1 << 16  # rows of a batch that a shard returns
 BREAK = b"\n"
 TABLE = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + BREAK * 10 + b" "
 )
-SHARDS = "shard string, lang string, sign long, vocab array<string>, counts array<long>, ids binary"
+SHARDS = "shard long, lang string, sign long, vocab array<string>, counts array<long>, ids binary"
 SHARD_ARROW = pa.schema([
-    ("shard", pa.string()), ("lang", pa.string()), ("sign", pa.int64()), ("vocab", pa.list_(pa.string())),
+    ("shard", pa.int64()), ("lang", pa.string()), ("sign", pa.int64()), ("vocab", pa.list_(pa.string())),
     ("counts", pa.list_(pa.int64())), ("ids", pa.binary()),
 ])
 
@@ -67,12 +68,12 @@ class _Open:
         self.parts.append(part)
         self.n += len(part)
 
-    def row(self, name: str, lang: str, sign: int) -> pa.RecordBatch:
+    def row(self, name: int, lang: str, sign: int) -> pa.RecordBatch:
         ids = np.concatenate(self.parts) if self.parts else np.empty(0, dtype=np.int32)
         counts = sign * np.bincount(ids, minlength=len(self.ids))[1:]
         vocab = pa.array([w for w in self.ids if w != BREAK], pa.binary()).cast(pa.string())
         whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        columns = [pa.array([name]), pa.array([lang]), pa.array([sign]), whole(vocab), whole(pa.array(counts)), pa.array([ids.tobytes()])]
+        columns = [pa.array([name]), pa.array([lang]), pa.array([sign]), whole(vocab), whole(pa.array(counts)), pa.array([_packed(ids)])]
         return pa.RecordBatch.from_arrays(columns, schema=SHARD_ARROW)
 
 
@@ -92,10 +93,10 @@ def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
     held: dict[str, _Open] = {}
     made = 0
 
-    def name() -> str:
+    def name() -> int:
         nonlocal made
         made += 1
-        return f"{task}-{made}"
+        return (task << 32) + made
 
     for batch in batches:
         for text, lang in zip(batch.column(0), batch.column(1), strict=True):
@@ -125,128 +126,117 @@ def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         yield own.row(name(), key, 1)
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids as four planes of bytes, of which the upper ones are almost all zero and compress well."""
+    return ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def _index(row: dict) -> tuple[FMIndex, np.ndarray]:
     """The index of a shard's frequent words, and their ids in the corpus."""
     order = np.argsort(row["wid"])
     wids = row["wid"][order]
-    own = np.zeros(row["size"] + 1, dtype=np.int64)
+    own = np.zeros(row["size"] + 1, dtype=np.int32)
     own[row["local"][order] + 1] = np.arange(1, len(wids) + 1)
-    return FMIndex(own[np.frombuffer(row["ids"], dtype=np.int32)]), wids
+    return FMIndex(own[_unpacked(row["ids"])]), wids
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    numbers = lambda name, k: batch.column(name)[k].values.to_numpy(zero_copy_only=False)
-    lists = [n for n in ("local", "wid", "first", "second") if n in batch.schema.names]
-    for k in range(batch.num_rows):
-        row = {n: batch.column(n)[k].as_py() for n in ("shard", "sign", "size", "ids")}
-        yield row | {n: numbers(n, k) for n in lists}
+def _rows(batches: Iterator[pa.RecordBatch], work: Callable[[dict], list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """``work`` of each row; lists are arrays."""
+    for batch in batches:
+        numbers = lambda name, k, batch=batch: batch.column(name)[k].values.to_numpy(zero_copy_only=False)
+        lists = [n for n in ("local", "wid", "first", "second") if n in batch.schema.names]
+        for k in range(batch.num_rows):
+            row = {n: batch.column(n)[k].as_py() for n in ("shard", "sign", "size", "ids")}
+            found = work(row | {n: numbers(n, k) for n in lists})
+            for start in range(0, len(found[0]), PART):
+                yield pa.RecordBatch.from_arrays([pa.array(c[start : start + PART]) for c in found], names=names)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in _rows(batch):
-            index, wids = _index(row)
-            left, right, two = index.extend_right(index.words())
-            if len(left):
-                shard = pa.array(np.zeros(len(left), dtype=np.int32))
-                shard = pa.DictionaryArray.from_arrays(shard, pa.array([row["shard"]])).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [shard, pa.array(wids[left]), pa.array(wids[right - 1]), pa.array(two.n * row["sign"])],
-                    names=["shard", "w1", "w2", "n"],
-                )
-
-
-def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in _rows(batch):
-            index, wids = _index(row)
-            place = lambda w: np.searchsorted(wids, w).astype(np.int64)
-            allowed = np.sort(place(row["first"]) * index.top + place(row["second"]))
-
-            def frequent(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                key = a * index.top + b
-                at = np.minimum(np.searchsorted(allowed, key), len(allowed) - 1)
-                return allowed[at] == key
-
-            left, right, two = index.extend_right(index.words())
-            stay = frequent(left, right - 1)
-            left, right = left[stay], right[stay] - 1
-            which, before, three = index.extend_left(two[stay])
-            stay = frequent(before - 1, left[which])
-            which, before, n = which[stay], before[stay] - 1, three.n[stay]
-            if len(which):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(wids[before]), pa.array(wids[left[which]]), pa.array(wids[right[which]]), pa.array(n * row["sign"])],
-                    names=["w1", "w2", "w3", "n"],
-                )
-
-
-def _looked_up(df: DataFrame, table: DataFrame, keys: dict[str, str], how: str = "inner") -> DataFrame:
-    """``df`` joined with a counted table: ``keys`` names its key columns by those of ``df``; hot keys are salted."""
-    own, other = list(keys), list(keys.values())
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    for a, b in keys.items():
-        copies = copies.withColumnRenamed(b, a) if a != b else copies
-    rest = [c for c in ("w1", "w2", "w3") if c in df.columns]
-    salt = F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int")
-    return df.withColumn("_salt", salt).join(copies.select("_salt", *own, *[c for c in table.columns if c not in other]), [*own, "_salt"], how).drop("_salt")
+def _pairs_of(row: dict) -> list[np.ndarray]:
+    index, wids = _index(row)
+    left, right, two = index.extend_right(index.words(), further=False)
+    return [np.full(len(left), row["shard"]), wids[left], wids[right - 1], two.n * row["sign"]]
+
+
+def _triples_of(row: dict) -> list[np.ndarray]:
+    index, wids = _index(row)
+    place = lambda w: np.searchsorted(wids, w).astype(np.int64)
+    allowed = np.sort(place(row["first"]) * index.top + place(row["second"]))
+
+    def frequent(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * index.top + b
+        return allowed[np.minimum(np.searchsorted(allowed, key), len(allowed) - 1)] == key
+
+    left, right, two = index.extend_right(index.words(), further=False)
+    stay = frequent(left, right - 1)
+    left, right = left[stay], right[stay] - 1
+    which, before, three = index.extend_left(two[stay], further=False)
+    stay = frequent(before - 1, left[which])
+    which, before, n = which[stay], before[stay] - 1, three.n[stay]
+    return [wids[before], wids[left[which]], wids[right[which]], n * row["sign"]]
+
+
+def _looked_up(df: DataFrame, words: DataFrame, key: str, name: str, how: str = "inner") -> DataFrame:
+    """``df`` and the words' struct ``name`` by ``key``; a word may stand in a large share of all phrases, so keys are salted."""
+    copies = words.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = copies.select("_salt", F.col("w").alias(key), F.struct("lang", "word", "f").alias(name))
+    salt = F.pmod(F.xxhash64("w1", "w2", "w3"), F.lit(SALTS)).cast("int")
+    return df.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
 
 
 def counted(docs: DataFrame, min_count: int, text: str = "text", lang: str = "lang", shard: int = SHARD) -> tuple[DataFrame, ...]:
-    """(words, pairs, triples): all phrases of ``min_count`` or more occurrences, exactly counted, as written tables.
+    """(totals, words, pairs, triples): all phrases of ``min_count`` or more occurrences, exactly counted.
 
-    words (lang, word, w, f, total) with an id ``w`` of (lang, word) and the language's number of words; pairs
-    (w1, w2, f); triples (w1, w2, w3, f).
+    totals (lang, total) with each language's number of words; words (w, lang, word, f) with an id ``w`` of (lang,
+    word); pairs (w1, w2, f); triples (w1, w2, w3, f). All but the totals are written tables.
     """
     light = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
     shards = materialize(light.mapInArrow(partial(_shards, size=shard), SHARDS))
-    listed = shards.select("shard", "lang", F.posexplode(F.arrays_zip("vocab", "counts")).alias("local", "w"))
-    listed = listed.select("shard", "lang", "local", F.col("w.vocab").alias("word"), F.col("w.counts").alias("n"))
     sums = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n"))
     totals = sums.groupBy("lang").agg(F.sum("n").alias("total"))
-    often = listed.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
-    words = materialize(often.withColumn("w", F.monotonically_increasing_id()))
-    known = listed.join(words.select("lang", "word", "w"), ["lang", "word"]).groupBy("shard").agg(
-        F.collect_list(F.struct("local", "w")).alias("known")
-    )
-    mapped = shards.select("shard", "sign", F.size("vocab").alias("size"), "ids").join(known, "shard")
-    mapped = mapped.select("shard", "sign", "size", "ids", F.col("known.local").alias("local"), F.col("known.w").alias("wid"))
-    mapped = materialize(mapped)
-    found = mapped.mapInArrow(_pairs, "shard string, w1 long, w2 long, n long")
-    of_pair = Window.partitionBy("w1", "w2")
-    kept = materialize(found.withColumn("f", F.sum("n").over(of_pair)).filter(F.col("f") >= min_count))
-    pairs = kept.groupBy("w1", "w2").agg(F.first("f").alias("f"))
+    listed = shards.select("shard", "lang", F.posexplode(F.arrays_zip("vocab", "counts")).alias("local", "w"))
+    listed = listed.select("shard", "lang", "local", F.col("w.vocab").alias("word"), F.col("w.counts").alias("n"))
+    # one row per shard and word: a word's rows are at most as many as the shards
+    of_word = Window.partitionBy("lang", "word")
+    listed = listed.withColumn("at", F.monotonically_increasing_id())
+    known = listed.withColumns({"f": F.sum("n").over(of_word), "w": F.min("at").over(of_word)})
+    known = materialize(known.filter(F.col("f") >= min_count).select("shard", "local", "w", "lang", "word", "f"))
+    words = materialize(known.groupBy("w").agg(*(F.first(c).alias(c) for c in ("lang", "word", "f"))))
+    own = known.groupBy("shard").agg(F.collect_list(F.struct("local", "w")).alias("known"))
+    mapped = shards.select("shard", "sign", F.size("vocab").alias("size"), "ids").join(own, "shard")
+    mapped = materialize(mapped.select("shard", "sign", "size", "ids", F.col("known.local").alias("local"), F.col("known.w").alias("wid")))
+    two = partial(_rows, work=_pairs_of, names=["shard", "w1", "w2", "n"])
+    found = mapped.mapInArrow(two, "shard long, w1 long, w2 long, n long")
+    kept = found.withColumn("f", F.sum("n").over(Window.partitionBy("w1", "w2"))).filter(F.col("f") >= min_count)
+    kept = materialize(kept.select("shard", "w1", "w2", "f"))
+    pairs = materialize(kept.groupBy("w1", "w2").agg(F.first("f").alias("f")))
     allowed = kept.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("p"))
     allowed = allowed.select("shard", F.col("p.w1").alias("first"), F.col("p.w2").alias("second"))
-    longer = mapped.join(allowed, "shard").mapInArrow(_triples, "w1 long, w2 long, w3 long, n long")
+    three = partial(_rows, work=_triples_of, names=["w1", "w2", "w3", "n"])
+    longer = mapped.join(allowed, "shard").mapInArrow(three, "w1 long, w2 long, w3 long, n long")
     triples = longer.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
-    return _with_total(words, totals), materialize(pairs), materialize(triples)
-
-
-def _with_total(words: DataFrame, totals: DataFrame) -> DataFrame:
-    """``words`` and the number of words of its language; a language's rows are salted like any hot key."""
-    salted = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return words.withColumn("_salt", F.pmod(F.xxhash64("w"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "_salt"]).drop("_salt")
+    return totals, words, pairs, materialize(triples)
 
 
 def scored(words: DataFrame, pairs: DataFrame, triples: DataFrame, share: int = 50) -> DataFrame:
-    """(lang, phrase, n_words, a, l, r, n, score) of the candidates that no longer one drops."""
+    """(lang, phrase, n_words, a, l, r, score) of the candidates that no longer one drops."""
     extended = triples.select("w1", "w2", "f").union(triples.select(F.col("w2").alias("w1"), F.col("w3").alias("w2"), "f"))
     most = extended.groupBy("w1", "w2").agg(F.max("f").alias("longest"))
+    none = F.lit(None).cast("long")
     two = pairs.join(most, ["w1", "w2"], "left").filter(
         F.col("longest").isNull() | (100 * F.col("longest") < share * F.col("f"))
     )
-    both = two.select("w1", "w2", F.lit(None).cast("long").alias("w3"), F.col("f").alias("a")).union(
-        triples.select("w1", "w2", "w3", F.col("f").alias("a"))
-    )
-    first = words.select("w", F.struct("lang", "word", "f", "total").alias("first"))
-    second = words.select("w", F.struct("word", "f").alias("second"))
-    third = words.select("w", F.struct("word", "f").alias("third"))
-    both = _looked_up(_looked_up(both, first, {"w1": "w"}), second, {"w2": "w"})
-    both = _looked_up(both, third, {"w3": "w"}, "left")
-    both = _looked_up(both, pairs.select("w1", "w2", F.col("f").alias("head")), {"w1": "w1", "w2": "w2"})
+    two = two.select("w1", "w2", none.alias("w3"), F.col("f").alias("a"), none.alias("head"), none.alias("tail"))
+    head = pairs.withColumnRenamed("f", "head")
     tail = pairs.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("f").alias("tail"))
-    both = _looked_up(both, tail, {"w2": "w2", "w3": "w3"}, "left")
+    three = triples.withColumnRenamed("f", "a").join(head, ["w1", "w2"]).join(tail, ["w2", "w3"])
+    both = two.unionByName(three)
+    both = _looked_up(_looked_up(both, words, "w1", "first"), words, "w2", "second")
+    both = _looked_up(both, words, "w3", "third", "left")
 
     def cut(k: int, left: str, right: str):
         exact = lambda c: F.col(c).cast("decimal(15,0)")
@@ -260,12 +250,13 @@ def scored(words: DataFrame, pairs: DataFrame, triples: DataFrame, share: int =
         "first.lang",
         F.concat_ws(" ", "first.word", "second.word", "third.word").alias("phrase"),
         F.when(F.col("w3").isNull(), 2).otherwise(3).alias("n_words"),
-        "a", "best.l", "best.r", F.col("first.total").alias("n"), "best.score",
+        "a", "best.l", "best.r", "best.score",
     )
 
 
 def phrases(docs: DataFrame, min_count: int = 10, top: int = 2000, share: int = 50, **where) -> DataFrame:
     """(lang, rank, phrase, a, l, r, score, n, n_words): each language's first ``top`` phrases by score, count, phrase."""
-    found = scored(*counted(docs, min_count, **where), share=share)
+    totals, *counts = counted(docs, min_count, **where)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    ranked = scored(*counts, share=share).withColumn("rank", F.row_number().over(order).cast("long"))
+    return ranked.filter(F.col("rank") <= top).join(totals.withColumnRenamed("total", "n"), "lang")
