@@ -1,7 +1,7 @@
 """Near duplicates among embeddings: int8 tile products with rigorous error bounds.
 
-All vectors of one length are dealt by hash into groups of about ``TILE`` rows, and every pair of groups is a tile:
-one task multiplies the int8 forms of its two groups (in float32, whose sums of such products are exact up to
+Vectors are dealt by hash into groups of about ``TILE`` rows, and every pair of groups is a tile (for each length of
+vectors): one task multiplies the int8 forms of its two groups (in float32, whose sums of such products are exact up to
 ``EXACT`` components). A unit vector is u = s q + e with q in int8, so the cosine differs from the scaled product by
 at most |s q| |e'| + |e| |s' q'| + |e| |e'|, and these lengths are kept per vector. Only pairs whose bound reaches the
 threshold are worked out in double precision, so no link is lost and none below the threshold is made.
@@ -35,6 +35,7 @@ TILE = 8192  # rows of a group
 STRIPE = 256  # rows that are multiplied with a group at a time
 EXACT = 1040  # components whose int8 products add up exactly in float32
 SLACK = 1e-5  # above the rounding of float32 sums and scalings of the coarse comparison
+MOST_TASKS = 20_000
 PAIRS = 1 << 16  # pairs that are worked out in double precision at a time
 
 
@@ -140,14 +141,18 @@ def _tile(key: tuple, table: pa.Table, threshold: float, schema: pa.Schema) -> p
 
 
 def tiles(rows: DataFrame) -> DataFrame:
-    """(dim, i, j, group, row, vec_id, vector): each row once per pair of groups that it belongs to."""
-    sized = rows.withColumn("dim", F.size("vector"))
-    groups = sized.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("long").alias("n_groups"))
-    dealt = sized.join(groups, "dim").withColumn("group", F.pmod(F.xxhash64("row"), "n_groups"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_groups") - 1)).alias("other")
-    return dealt.select("dim", "group", "row", "vec_id", "vector", other).select(
+    """(dim, i, j, group, row, vec_id, vector): each row once per pair of groups that it belongs to, a pair in one place.
+
+    The number of partitions is given, since a tile is much work on few bytes: adaptive execution would join
+    many of them into one task.
+    """
+    n_groups = max(1, -(-rows.count() // TILE))
+    dealt = rows.withColumn("dim", F.size("vector")).withColumn("group", F.pmod(F.xxhash64("row"), F.lit(n_groups)))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1))).alias("other")
+    met = dealt.select("dim", "group", "row", "vec_id", "vector", other).select(
         "dim", F.least("group", "other").alias("i"), F.greatest("group", "other").alias("j"), "group", "row", "vec_id", "vector"
     )
+    return met.repartition(min(2 * n_groups * (n_groups + 1), MOST_TASKS), "dim", "i", "j")
 
 
 def grouped(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
