@@ -42,6 +42,7 @@ OPEN = 64  # languages that a task has open
 BLOCK = 1 << 20  # bytes of a text that are cut into words at a time
 TAIL = 2  # words that a cut text's next shard repeats
 SALTS = 8
+PARTS = 64  # parts of a language whose phrases are ranked by themselves first
 PART = 1 << 16  # rows of a batch that a shard returns
 BREAK = b"\n"
 TABLE = bytes.maketrans(
@@ -257,6 +258,10 @@ def scored(words: DataFrame, pairs: DataFrame, triples: DataFrame, share: int =
 def phrases(docs: DataFrame, min_count: int = 10, top: int = 2000, share: int = 50, **where) -> DataFrame:
     """(lang, rank, phrase, a, l, r, score, n, n_words): each language's first ``top`` phrases by score, count, phrase."""
     totals, *counts = counted(docs, min_count, **where)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored(*counts, share=share).withColumn("rank", F.row_number().over(order).cast("long"))
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    found = scored(*counts, share=share).withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    # the first of each part of a language hold its first; so no task ranks all phrases of a language
+    parted = F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))
+    first = found.withColumn("_at", parted).filter(F.col("_at") <= top).drop("_at", "_part")
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
     return ranked.filter(F.col("rank") <= top).join(totals.withColumnRenamed("total", "n"), "lang")
