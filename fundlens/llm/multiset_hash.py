@@ -2,7 +2,8 @@
 
 A paragraph is a line of the text. It maps to a wide vector: ``STRONG`` lanes are hashes of its SHA-256
 digest (with the lane number) modulo 2**32, and ``TALLY`` lanes sum +1 or -1 over its sentences, by the
-bits of their hashes, modulo 2**16; one lane counts the sentences. A document's fingerprint is the sum of
+bits of their hashes, modulo 2**16; one lane counts the sentences. A sentence stays within its line, so
+every part of a vector is a sum over the lines. A document's fingerprint is the sum of
 its paragraphs' vectors, so the order of paragraphs does not matter, equal texts have equal fingerprints,
 and a paragraph is inserted or deleted by adding or subtracting its vector.
 
@@ -11,6 +12,8 @@ square of the differences of the tally lanes estimates the size of the symmetric
 
 Defined results: a null text is the empty text; it has one empty paragraph and no sentence; documents
 without sentences are like each other with 1 and like others with 0. Repeated rows have equal results.
+A carriage return is part of its line. A very long text is hashed line by line in one row; a column that
+is called like the new one is replaced by it.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from fundlens.session import materialize
 STRONG = 16
 TALLY = 64
 LANE, SMALL = 1 << 32, 1 << 16
-SENTENCE = r"[.!?\n]+\s*"
+SENTENCE = r"[.!?]+[^\S\n]*|\n"  # ends of sentences; white space of the next line is that line's
 
 
 def _sum(a: Column, b: Column, modulo: int) -> Column:

@@ -182,6 +182,27 @@ def test_fingerprint_is_homomorphic(spark):
     assert own[2]["sum"] == v[0] and own[0]["sum"] == v[4] and own[4]["rest"] == v[0]
 
 
+def test_fingerprint_of_any_order_insertion_and_deletion(spark):
+    """Lines with indentation, tabs, carriage returns, blank lines and no or many sentence ends."""
+    rng = random.Random(8)
+    cases = []
+    for _ in range(60):
+        line = lambda: "".join(rng.choice(["a", "B c", ". ", ".", "!?", "  ", "\t", "\r", "é.", ""]) for _ in range(rng.randint(0, 6)))
+        lines = [line() for _ in range(rng.randint(2, 6))]
+        cut = rng.randint(1, len(lines) - 1)
+        mixed = rng.sample(lines, len(lines))
+        cases.append(tuple("\n".join(part) for part in (lines, mixed, mixed[:cut], mixed[cut:])))
+    rows = spark.createDataFrame(cases, "whole string, mixed string, head string, tail string")
+    v = rows.select(*(multiset_hash.vector(F.col(c)).alias(c) for c in rows.columns))
+    made = v.select(
+        "whole", "mixed", "head",
+        multiset_hash.combined(F.col("head"), F.col("tail")).alias("inserted"),
+        multiset_hash.combined(F.col("whole"), F.col("tail"), -1).alias("deleted"),
+    ).collect()
+    for case, r in zip(cases, made, strict=True):
+        assert r.whole == r.mixed == r.inserted and r.head == r.deleted, case
+
+
 def test_likeness_follows_shared_sentences(spark):
     rng = random.Random(4)
     sentences = [f"sentence {rng.random()}" for _ in range(300)]
