@@ -3,26 +3,33 @@
 A text is cut at the vocabulary's special tokens and then into pieces by the byte-level pattern. All
 new pieces of a batch lie in one flat array of symbols; each round looks up every neighbouring pair
 by binary search over the sorted pair keys, takes the lowest rank of each piece and merges all its
-places at once. Pieces seen before come from a bounded table per task.
+places at once. Pieces seen before come from a table per task that is bounded in pieces and in characters.
 
-Defined results: null and empty texts have no ids and decode to the empty text.
+Defined results: null and empty texts have no ids and decode to the empty text. Repeated rows have equal ids. A very
+long text is encoded whole; its pieces are not remembered beyond the table's bounds. An empty table gives an empty
+one. New columns must not be columns of the table.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from fundlens.llm.shared import with_columns
 
 SHIFT = 20  # ids are below 2**20
 NONE = np.iinfo(np.int64).max
-KNOWN = 300_000  # pieces a task remembers before it starts anew
+KNOWN = 200_000  # pieces a task remembers before it starts anew
+KNOWN_CHARS = 4_000_000  # characters of them
+BYTES = 1 << 20  # text that is encoded at a time, or one longer text
 #: Fixed value: the published byte-level pattern, with white space as the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -128,6 +135,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.flat = np.empty(0, dtype=np.uint32)
         self.starts = self.sizes = np.empty(0, dtype=np.int64)
         self.add([], [np.array([i], dtype=np.uint32) for i in self.table["special"].values()])
@@ -151,7 +159,7 @@ class Encoder:
 
     def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each text."""
-        if len(self.known) > KNOWN:
+        if len(self.known) > KNOWN or self.chars > KNOWN_CHARS:
             self.forget()
         known, n, new, places, counts = self.known, len(self.sizes), [], [], []
         for text in texts:
@@ -165,6 +173,7 @@ class Encoder:
             counts.append(len(places) - before)
         if new:
             self.add(new, [])
+            self.chars += sum(map(len, new))
         at = np.array(places, dtype=np.int64)
         owner = np.repeat(np.arange(len(texts)), counts)
         sizes = np.bincount(owner, weights=self.sizes[at], minlength=len(texts)).astype(np.int64)
@@ -205,3 +214,26 @@ def decoded(rows: DataFrame, tokenizer: str, ids: str = "ids", text: str = "deco
     """``rows`` with the text that packed ids stand for; null ids give the empty text."""
     table = rows.sparkSession.sparkContext.broadcast(load_tokenizer(tokenizer))
     return with_columns(rows, ids, partial(_decoder, table), f"`{text}` string")
+
+
+def _both(batches: Iterator[pa.RecordBatch], table, at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    own = Encoder(table.value)
+    for batch in batches:
+        rest = batch.remove_column(at)
+        size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        block = np.cumsum(size) // BYTES
+        ends = [*np.flatnonzero(np.diff(block)) + 1, batch.num_rows] if batch.num_rows else []
+        for start, stop in zip([0, *ends], ends, strict=False):
+            ids = own.encode(batch.column(at).slice(start, stop - start).to_pylist())
+            packed = pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())
+            texts = pa.array([decode_ids(table.value, i) for i in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([*rest.slice(start, stop - start).columns, packed, texts], names=names)
+
+
+def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encoded`` and ``decoded`` in one pass, so that a task has one Python worker; ``text`` itself is left out."""
+    table = docs.sparkSession.sparkContext.broadcast(load_tokenizer(tokenizer))
+    kept = [f for f in docs.schema.fields if f.name != text]
+    schema = StructType([*kept, *StructType.fromDDL(f"`{ids}` binary, `{decoded}` string").fields])
+    names = [f.name for f in schema.fields]
+    return docs.mapInArrow(partial(_both, table=table, at=docs.columns.index(text), names=names), schema)

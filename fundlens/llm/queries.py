@@ -83,9 +83,9 @@ def op9_language_id(spark, sf_dir):
     return language_id.predicted(rows, "text", contents).drop("text")
 
 
-def bpe_digest(encoded, *more):
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ...) of rows with packed ids."""
-    rows = bpe.decoded(encoded.drop("text"), TOKENIZER)
+def bpe_digest(docs, *more):
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ...) of documents."""
+    rows = bpe.round_trip(docs.select("doc_id", "text"), TOKENIZER)
     return rows.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -96,7 +96,7 @@ def bpe_digest(encoded, *more):
 
 
 def op10_bpe_roundtrip(spark, sf_dir):
-    return bpe_digest(bpe.encoded(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER))
+    return bpe_digest(documents(spark, sf_dir))
 
 
 def op11_phrase_collocations(spark, sf_dir):

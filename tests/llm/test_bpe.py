@@ -31,6 +31,7 @@ def test_encoder_equals_library(library):
 
 def test_bounded_memory_gives_the_same_ids(library, monkeypatch):
     monkeypatch.setattr(bpe, "KNOWN", 5)
+    monkeypatch.setattr(bpe, "KNOWN_CHARS", 30)
     encoder = bpe.Encoder(bpe.load_tokenizer(TOKENIZER))
     for text in ["one two three", "four five six seven", "one <|endoftext|> two eight nine", "one two"]:
         assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
@@ -44,7 +45,7 @@ def test_decodes_bytes_that_are_no_text():
 
 
 def test_query_digests(make_docs, odd_rows, library):
-    rows = bpe_digest(bpe.encoded(make_docs(odd_rows).select("doc_id", "text"), TOKENIZER)).collect()
+    rows = bpe_digest(make_docs(odd_rows)).collect()
     got = sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows), key=str)
     want = []
     for doc_id, text, *_ in odd_rows:
@@ -59,3 +60,6 @@ def test_empty_table_and_clashing_column(make_docs):
     rows = make_docs([(1, "a b")]).withColumn("ids", F.lit("own"))
     out = bpe.decoded(bpe.encoded(rows, TOKENIZER, ids="_ids"), TOKENIZER, ids="_ids", text="_text").first()
     assert out.ids == "own" and out._text == "a b"
+    assert bpe.round_trip(make_docs([]), TOKENIZER).count() == 0
+    both = bpe.round_trip(rows, TOKENIZER, ids="_ids").first()
+    assert both.ids == "own" and both.decoded == "a b" and np.frombuffer(both._ids, "<u4").tolist() == np.frombuffer(out._ids, "<u4").tolist()
