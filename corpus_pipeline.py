@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundlens.llm import bpe, mixing, quality, queries, secret_scan, simhash
+from fundlens.llm import mixing, quality, queries, secret_scan, simhash
 from fundlens.llm.shared import documents, fresh, labels
 from fundlens.session import materialize, ship_package
 
@@ -51,7 +51,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of each row; ids are packed 32-bit integers."""
     ship_package(spark)
-    return queries.bpe_digest(bpe.encoded(docs.select("doc_id", "text"), queries.TOKENIZER), "ids")
+    return queries.bpe_digest(docs, "ids")
 
 
 STAGES = [
