@@ -53,11 +53,11 @@ def fold_tables(
     for name, (df, columns) in children.items():
         for column, alias in columns.items():
             if column in df.columns:
-                out.append(F.when(F.size(f"_{name}") > 0, _values(f"_{name}", column)).alias(alias))
+                out.append(F.when(F.size(f"_{name}") > 0, list_values(f"_{name}", column)).alias(alias))
     return folded.select(*out), hot is not None
 
 
-def _values(structs: str, field: str):
+def list_values(structs: str, field: str):
     return F.transform(structs, lambda s: s[field])
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fundlens.operators.skew import BROADCAST_ROWS
 from fundlens.session import materialize
+from fundlens.sources.bucketed import open_bucketed, write_bucketed
 from fundlens.text.tokens import stem_words, words
 
 # BM25 parameters.
@@ -58,6 +59,11 @@ def save_index(index: Index, path: str) -> None:
     index.postings.repartitionByRange("term", "id").sortWithinPartitions("term").write.mode(
         "overwrite"
     ).parquet(f"{path}/postings")
+    save_totals(index, path)
+
+
+def save_totals(index: Index, path: str) -> None:
+    """The terms and the corpus totals of an index."""
     index.terms.write.mode("overwrite").parquet(f"{path}/terms")
     spark = index.postings.sparkSession
     totals = spark.range(1).select(
@@ -79,6 +85,23 @@ def load_index(spark: SparkSession, path: str) -> Index:
     )
 
 
+def save_bucketed(index: Index, path: str, name: str, buckets: int) -> Index:
+    """Store the index with its postings in buckets of (term, salt): a search then shuffles no postings.
+
+    A frequent term lies in up to ``SALTS`` buckets. ``load_bucketed`` opens it in another session.
+    """
+    salted = index.postings.withColumn("_salt", _salt_of())
+    keys = ["term", "_salt"]
+    postings = write_bucketed(salted, f"{path}/postings", f"{name}_postings", keys, buckets)
+    save_totals(index, path)
+    return replace(index, postings=postings, terms=index.postings.sparkSession.read.parquet(f"{path}/terms"))
+
+
+def load_bucketed(spark: SparkSession, path: str, name: str, buckets: int) -> Index:
+    postings = open_bucketed(spark, f"{path}/postings", f"{name}_postings", ["term", "_salt"], buckets)
+    return replace(load_index(spark, path), postings=postings)
+
+
 def query_terms(queries: DataFrame, stemmed: bool) -> DataFrame:
     """Distinct (query_id, term, n_terms)."""
     found = queries.select("query_id", F.explode(words("text")).alias("term"))
@@ -89,30 +112,46 @@ def query_terms(queries: DataFrame, stemmed: bool) -> DataFrame:
     return terms.join(per_query, "query_id")
 
 
-def bm25_scores(index: Index, queries: DataFrame, match: str = "all") -> DataFrame:
-    """(query_id, id, score) of every matching document; ``match`` is "all" or "any" terms.
+def term_hits(index: Index, terms: DataFrame) -> DataFrame:
+    """The postings of the asked ``terms`` (term, …) with the columns of both and ``idf``.
 
-    The query terms are broadcast when their counted number allows it: postings are filtered in
-    place, then placed by document, so that the much larger (query, document) hits are summed up
-    where they arise and never shuffled. Otherwise postings are joined on (term, salt): a frequent
-    term is spread over ``SALTS`` tasks.
+    The terms are broadcast when their counted number allows it: postings are filtered in place, then
+    placed by document, so that the much larger (query, document) hits are summed up where they arise
+    and never shuffled. Otherwise postings are joined on (term, salt): a frequent term is spread over
+    ``SALTS`` tasks. Postings that are stored in buckets of (term, salt) are joined where they lie.
     """
-    terms = materialize(query_terms(queries, index.stemmed))
     idf = F.log(F.lit(float(index.n_docs)) / (F.col("df") + 1)) + 1
+    if "_salt" in index.postings.columns:
+        return _salted_hits(index.postings, terms.join(index.terms, "term").withColumn("idf", idf))
     if terms.count() <= BROADCAST_ROWS:
         asked = F.broadcast(terms.select("term").distinct())
         known = index.terms.join(asked, "term", "left_semi")
         terms = materialize(terms.join(F.broadcast(known), "term").withColumn("idf", idf))
         asked = F.broadcast(terms.select("term").distinct())
         placed = index.postings.join(asked, "term", "left_semi").repartition("id")
-        hits = placed.join(F.broadcast(terms), "term")
-    else:
-        terms = terms.join(index.terms, "term").withColumn("idf", idf)
-        salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        postings = index.postings.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-        hits = postings.join(salted, ["term", "_salt"])
-    norm = (1 - B) + B * F.col("doc_len") / F.lit(index.avg_len)
-    weight = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * norm)
+        return placed.join(F.broadcast(terms), "term")
+    return _salted_hits(index.postings.withColumn("_salt", _salt_of()), terms.join(index.terms, "term").withColumn("idf", idf))
+
+
+def _salt_of() -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+
+
+def _salted_hits(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return postings.join(salted, ["term", "_salt"]).drop("_salt")
+
+
+def saturation(avg_len: float) -> Column:
+    """What ``tf`` and ``doc_len`` contribute to a BM25 weight, to be multiplied by the term's idf."""
+    norm = (1 - B) + B * F.col("doc_len") / F.lit(avg_len)
+    return (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * norm)
+
+
+def bm25_scores(index: Index, queries: DataFrame, match: str = "all") -> DataFrame:
+    """(query_id, id, score) of every matching document; ``match`` is "all" or "any" terms."""
+    hits = term_hits(index, materialize(query_terms(queries, index.stemmed)))
+    weight = F.col("idf") * saturation(index.avg_len)
     scored = hits.groupBy("query_id", "id").agg(
         F.round(F.sum(weight), SCORE_DIGITS).alias("score"),
         F.count(F.lit(1)).alias("_matched"),
