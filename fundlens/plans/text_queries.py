@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,9 @@ from fundlens.operators.fold import consolidate
 from fundlens.plans import views
 from fundlens.plans.oracle_views import ORDER, ORGANIZATIONS, PROJECTS, SCORED
 from fundlens.plans.views import table
-from fundlens.session import spread
-from fundlens.text import chat, chunks, documents, hybrid, lexical, vectors
-from fundlens.text.tokens import STOP_WORDS, stem_words
+from fundlens.session import run_dir, spread
+from fundlens.text import cells, chat, chunks, clauses, documents, hybrid, lexical, pruned, vectors
+from fundlens.text.tokens import STOP_WORDS, stem_words, words
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +83,54 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.vector_search(vecs, vecs.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), 5)
 
 
+def bm25_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``bm25_topk``, from the blocks that can hold them."""
+    index = lexical.build_index(_docs(spark, sf_dir), stemmed=False)
+    return pruned.pruned_search(pruned.build_blocks(index), _user_turns(spark, sf_dir), 5)
+
+
+def bm25_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``bm25_all_terms``, from postings in buckets."""
+    index = lexical.build_index(_docs(spark, sf_dir), stemmed=False)
+    name, buckets = f"index_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = lexical.save_bucketed(index, f"{run_dir(spark)}/{name}", name, buckets)
+    return lexical.bm25_search(held, _passages(spark, sf_dir), 5, match="all")
+
+
+def clause_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages as clauses: a phrase, optional words, an optional prefix, an excluded phrase."""
+    words_of = _passages(spark, sf_dir).select("query_id", words("text").alias("w"))
+    word = lambda k: F.get("w", F.lit(k - 1))
+    row = lambda n, kind, form, text: F.struct(F.lit(n).alias("clause"), F.lit(kind).alias("kind"), F.lit(form).alias("form"), text.alias("text"))
+    asked = words_of.filter(F.size("w") >= 6).select("query_id", F.inline(F.array(
+        row(1, "must", "phrase", F.concat_ws(" ", word(2), word(3))),
+        row(2, "should", "words", F.concat_ws(" ", word(5), word(6))),
+        row(3, "should", "prefix", F.left(word(1), F.lit(3))),
+        row(4, "must_not", "phrase", F.concat_ws(" ", word(3), word(2))),
+    )))
+    return clauses.clause_search(clauses.build_positions(_docs(spark, sf_dir)), asked, 5)
+
+
+def _probing(vecs: DataFrame) -> DataFrame:
+    """The query set: every vector whose id is divisible by 50."""
+    some = vecs.filter(F.col("id") % 50 == 0)
+    return some.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def vector_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors in the cells that each query visits."""
+    vecs = _vectors(spark, sf_dir)
+    return cells.cell_search(cells.build_cells(vecs, k=5), _probing(vecs), 5)
+
+
+def vector_cells_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the cell search finds nine of ten of the exact neighbours, over all vectors."""
+    vecs = _vectors(spark, sf_dir)
+    found = cells.recall(vector_topk_cells(spark, sf_dir), vectors.vector_search(vecs, _probing(vecs), 5))
+    enough = (10 * F.col("n_found") >= 9 * F.col("n_neighbours")).alias("recall_reached")
+    return found.select("n_queries", "n_neighbours", enough)
+
+
 def _hybrid(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Passages against all documents, by words and by the vectors of their texts."""
     docs, queries = _docs(spark, sf_dir), _passages(spark, sf_dir)
@@ -202,6 +252,11 @@ def text_queries() -> dict:
         "bm25_topk": bm25_any,
         "bm25_all_terms": bm25_all,
         "bm25_stemmed": bm25_stemmed,
+        "bm25_pruned": bm25_pruned,
+        "bm25_bucketed": bm25_bucketed,
+        "clause_topk": clause_topk,
+        "vector_topk_cells": vector_topk_cells,
+        "vector_cells_recall": vector_cells_recall,
         "text_vectors": text_vectors,
         "document_vectors": document_vectors,
         "normalized_questions": normalized_questions,
@@ -313,6 +368,32 @@ FROM scored LEFT JOIN o ON projectID=id LEFT JOIN r ON l_orderkey=id"""
     )
 
 
+def _clauses() -> str:
+    kept = lambda text: f"list_filter(regexp_extract_all(lower({text}), '{_WORD}'), lambda x: length(x) >= 2 AND x NOT IN {_STOP})"
+    return (
+        f"""WITH lists AS (SELECT doc_id AS id, {kept("text")} AS w FROM documents),
+tok AS (SELECT id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM lists),
+dl AS (SELECT id, count(*) AS doc_len FROM tok GROUP BY 1), post AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
+tot AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT count(*) FROM tok)/(SELECT count(*) FROM documents)::DOUBLE AS a),
+df AS (SELECT term, ln(n/(count(*)+1))+1 AS idf FROM post, tot GROUP BY term, n),
+pw AS (SELECT id, term, idf*(tf*2.2)/(tf+1.2*(0.25+0.75*doc_len/a)) AS v FROM post JOIN df USING (term) JOIN dl USING (id), tot),
+q AS (SELECT item_id AS q, {kept("text")} AS w FROM benchmark), asked AS (SELECT * FROM q WHERE len(w) >= 6),
+must AS (SELECT DISTINCT q, x.id FROM asked JOIN tok x ON x.term = w[2] JOIN tok y ON y.id = x.id AND y.pos = x.pos + 1 AND y.term = w[3]),
+nots AS (SELECT DISTINCT q, x.id FROM asked JOIN tok x ON x.term = w[3] JOIN tok y ON y.id = x.id AND y.pos = x.pos + 1 AND y.term = w[2]),
+prefixed AS (SELECT DISTINCT q, id FROM asked JOIN post ON starts_with(term, left(w[1], 3))),
+found AS (SELECT must.q, must.id, a.v + b.v
+    + CASE WHEN c.v IS NOT NULL AND d.v IS NOT NULL THEN c.v + CASE WHEN w[5] = w[6] THEN 0 ELSE d.v END ELSE 0 END
+    + CASE WHEN p.id IS NOT NULL THEN 1 ELSE 0 END AS s
+  FROM must JOIN asked ON asked.q = must.q
+    JOIN pw a ON a.id = must.id AND a.term = w[2] JOIN pw b ON b.id = must.id AND b.term = w[3]
+    LEFT JOIN pw c ON c.id = must.id AND c.term = w[5] LEFT JOIN pw d ON d.id = must.id AND d.term = w[6]
+    LEFT JOIN prefixed p ON p.q = must.q AND p.id = must.id LEFT JOIN nots n ON n.q = must.q AND n.id = must.id
+  WHERE n.id IS NULL)
+"""
+        + _ranked("SELECT q AS query_id, id, round(s, 6) AS score FROM found", 5)
+    )
+
+
 def text_oracles() -> dict[str, str]:
     doc_top = _scores(_PASSAGES) + f", top AS ({_ranked(_ALL_TERMS, 2)})"
     role = hybrid.ROLE
@@ -325,6 +406,12 @@ SELECT id, chunk_no, substr(text, chunk_no*650+1, 750) AS chunk FROM s""",
         "postings": "WITH " + _POSTINGS + " SELECT id, doc_len, term, tf FROM post JOIN dl USING (id)",
         "bm25_topk": _scores(_TURNS) + " " + _ranked("SELECT query_id, id, score FROM sc", 5),
         "bm25_all_terms": _scores(_PASSAGES) + " " + _ranked(_ALL_TERMS, 5),
+        "bm25_pruned": _scores(_TURNS) + " " + _ranked("SELECT query_id, id, score FROM sc", 5),
+        "bm25_bucketed": _scores(_PASSAGES) + " " + _ranked(_ALL_TERMS, 5),
+        "clause_topk": _clauses(),
+        "vector_cells_recall": """
+SELECT count(*) AS n_queries, count(*) * least(5, (SELECT count(*) FROM embeddings)) AS n_neighbours, TRUE AS recall_reached
+FROM embeddings WHERE vec_id % 50 = 0""",
         "normalized_questions": f"SELECT id AS query_id, lower(trim(text, ' ')) AS question FROM ({_TURNS})",
         "vector_topk": _ranked(_NEAR, 5, "distance"),
         "hybrid_topk": _scores(_PASSAGES)
