@@ -12,7 +12,7 @@ from fundlens.plans import views
 from fundlens.plans.oracle_views import ORDER, ORGANIZATIONS, PROJECTS, SCORED
 from fundlens.plans.views import table
 from fundlens.session import run_dir, spread
-from fundlens.text import cells, chat, chunks, clauses, documents, hybrid, lexical, pruned, vectors
+from fundlens.text import cells, chat, chunks, clauses, documents, hybrid, lexical, pruned, vectors, word_vectors
 from fundlens.text.tokens import STOP_WORDS, stem_words, words
 
 
@@ -131,6 +131,22 @@ def vector_cells_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("n_queries", "n_neighbours", enough)
 
 
+def cooccurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the 200 most frequent words stand near each word."""
+    docs = _docs(spark, sf_dir)
+    contexts = word_vectors.frequent_contexts(docs, 200)
+    counts = word_vectors.cooccurrences(docs, contexts)
+    return counts.join(F.broadcast(contexts), "column").select("term", "context", "n")
+
+
+def learned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages against all documents by vectors of words that are trained on the documents."""
+    docs = _docs(spark, sf_dir)
+    trained = word_vectors.train(docs)
+    probes = word_vectors.text_vectors(_passages(spark, sf_dir), trained, "query_id", out="vector").withColumnRenamed("id", "query_id")
+    return vectors.vector_search(word_vectors.text_vectors(docs, trained), probes, 5)
+
+
 def _hybrid(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Passages against all documents, by words and by the vectors of their texts."""
     docs, queries = _docs(spark, sf_dir), _passages(spark, sf_dir)
@@ -255,6 +271,8 @@ def text_queries() -> dict:
         "bm25_pruned": bm25_pruned,
         "bm25_bucketed": bm25_bucketed,
         "clause_topk": clause_topk,
+        "cooccurrence_counts": cooccurrence_counts,
+        "learned_topk": learned_topk,
         "vector_topk_cells": vector_topk_cells,
         "vector_cells_recall": vector_cells_recall,
         "text_vectors": text_vectors,
@@ -368,16 +386,20 @@ FROM scored LEFT JOIN o ON projectID=id LEFT JOIN r ON l_orderkey=id"""
     )
 
 
+def _kept(text: str) -> str:
+    """The index words of a text as a list."""
+    return f"list_filter(regexp_extract_all(lower({text}), '{_WORD}'), lambda x: length(x) >= 2 AND x NOT IN {_STOP})"
+
+
 def _clauses() -> str:
-    kept = lambda text: f"list_filter(regexp_extract_all(lower({text}), '{_WORD}'), lambda x: length(x) >= 2 AND x NOT IN {_STOP})"
     return (
-        f"""WITH lists AS (SELECT doc_id AS id, {kept("text")} AS w FROM documents),
+        f"""WITH lists AS (SELECT doc_id AS id, {_kept("text")} AS w FROM documents),
 tok AS (SELECT id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM lists),
 dl AS (SELECT id, count(*) AS doc_len FROM tok GROUP BY 1), post AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
 tot AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT count(*) FROM tok)/(SELECT count(*) FROM documents)::DOUBLE AS a),
 df AS (SELECT term, ln(n/(count(*)+1))+1 AS idf FROM post, tot GROUP BY term, n),
 pw AS (SELECT id, term, idf*(tf*2.2)/(tf+1.2*(0.25+0.75*doc_len/a)) AS v FROM post JOIN df USING (term) JOIN dl USING (id), tot),
-q AS (SELECT item_id AS q, {kept("text")} AS w FROM benchmark), asked AS (SELECT * FROM q WHERE len(w) >= 6),
+q AS (SELECT item_id AS q, {_kept("text")} AS w FROM benchmark), asked AS (SELECT * FROM q WHERE len(w) >= 6),
 must AS (SELECT DISTINCT q, x.id FROM asked JOIN tok x ON x.term = w[2] JOIN tok y ON y.id = x.id AND y.pos = x.pos + 1 AND y.term = w[3]),
 nots AS (SELECT DISTINCT q, x.id FROM asked JOIN tok x ON x.term = w[3] JOIN tok y ON y.id = x.id AND y.pos = x.pos + 1 AND y.term = w[2]),
 prefixed AS (SELECT DISTINCT q, id FROM asked JOIN post ON starts_with(term, left(w[1], 3))),
@@ -409,6 +431,12 @@ SELECT id, chunk_no, substr(text, chunk_no*650+1, 750) AS chunk FROM s""",
         "bm25_pruned": _scores(_TURNS) + " " + _ranked("SELECT query_id, id, score FROM sc", 5),
         "bm25_bucketed": _scores(_PASSAGES) + " " + _ranked(_ALL_TERMS, 5),
         "clause_topk": _clauses(),
+        "cooccurrence_counts": f"""WITH lists AS (SELECT doc_id AS id, {_kept("text")} AS w FROM documents),
+tok AS (SELECT id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM lists),
+ctx AS (SELECT term, count(*) AS n FROM tok GROUP BY 1 ORDER BY n DESC, term LIMIT 200),
+near AS (SELECT a.term, b.term AS context FROM (SELECT *, unnest(range(1, 5)) AS d FROM tok) a JOIN tok b ON b.id = a.id AND b.pos = a.pos + a.d
+  UNION ALL SELECT a.term, b.term FROM (SELECT *, unnest(range(1, 5)) AS d FROM tok) a JOIN tok b ON b.id = a.id AND b.pos = a.pos - a.d)
+SELECT term, context, count(*) AS n FROM near WHERE context IN (SELECT term FROM ctx) GROUP BY 1, 2""",
         "vector_cells_recall": """
 SELECT count(*) AS n_queries, count(*) * least(5, (SELECT count(*) FROM embeddings)) AS n_neighbours, TRUE AS recall_reached
 FROM embeddings WHERE vec_id % 50 = 0""",
