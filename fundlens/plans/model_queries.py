@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundlens.functions import names
-from fundlens.ml import anomaly, drift, evaluate, features, model, preprocess, reduce, resample, select, trees
+from fundlens.ml import anomaly, drift, evaluate, features, model, preprocess, reduce, resample, select, sparse_svd, trees
 from fundlens.operators import ordering
 from fundlens.operators.fold import consolidate
 from fundlens.plans import views
 from fundlens.plans.oracle_views import ORDER, ORGANIZATIONS, PROJECTS, SCORED, VOCABULARY
 from fundlens.plans.views import table
-from fundlens.session import materialize
+from fundlens.session import materialize, spread
 from fundlens.text.documents import confidence, predicted_label
 
 SMALL = model.Params(trees=10, depth=3, rate=0.1, pos_weight=2.0)
@@ -209,6 +209,24 @@ def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.verdict(ks.unionByName(chi))
 
 
+def drift_wasserstein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drift.wasserstein(*_two_periods(spark, sf_dir), ["o_totalprice", "o_custkey"])
+    return found.select("feature", F.round("distance", 4).alias("distance"))
+
+
+def drift_jensen_shannon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drift.jensen_shannon(*_two_periods(spark, sf_dir), ["o_orderstatus", "o_orderpriority"])
+    return found.select("feature", F.round("distance", 9).alias("distance"))
+
+
+def sparse_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of each document's TF-IDF in the 50 leading directions of 65,536 columns."""
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    rows = sparse_svd.with_components(docs, "text", sparse_svd.fit_sparse_basis(docs, "text"))
+    length = F.sqrt(F.aggregate("components", F.lit(0.0), lambda s, x: s + x * x))
+    return rows.select("id", F.round(length, 6).alias("length"))
+
+
 def svd_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     projects = views.projects(spark, sf_dir).select("id", "title")
     return reduce.add_text_features(projects, reduce.fit_text_bases(projects, ["title"], 10)).drop("title")
@@ -297,7 +315,10 @@ def model_queries() -> dict:
         "drift_ks": drift_ks,
         "drift_chi2": drift_chi2,
         "drift_report": drift_report,
+        "drift_wasserstein": drift_wasserstein,
+        "drift_jensen_shannon": drift_jensen_shannon,
         "svd_features": svd_features,
+        "sparse_components": sparse_components,
         "anomaly_scores": anomaly_scores,
         "adasyn_rows": adasyn_rows,
         "train_eval": train_eval,
@@ -452,6 +473,15 @@ SELECT id, CASE WHEN predicted_label=1 THEN 'TERMINATED' ELSE 'CLOSED' END AS la
         + f" SELECT id, predicted_label, round(predicted_prob::DOUBLE + 0.00001::DOUBLE, 4) AS predicted_prob, {finished} FROM scored",
         "drift_ks": f"WITH {periods}, {ks_tests} SELECT feature, round(st, 9) AS statistic, round(p, 6) AS p_value FROM ks",
         "drift_chi2": f"WITH {periods}, {chi_tests} SELECT feature, round(st, 6) AS statistic, freedom, round(p, 6) AS p_value FROM chi",
+        "drift_wasserstein": f"""WITH {periods}, l AS ({long}),
+c AS (SELECT feature, v, sum(ref) AS ref, sum(cur) AS cur FROM l GROUP BY 1,2),
+d AS (SELECT feature, v, lead(v) OVER w AS up, abs(sum(ref) OVER w / sum(ref) OVER t::DOUBLE - sum(cur) OVER w / sum(cur) OVER t::DOUBLE) AS gap FROM c
+  WINDOW w AS (PARTITION BY feature ORDER BY v), t AS (PARTITION BY feature))
+SELECT feature, round(sum(gap * (up - v)), 4) AS distance FROM d WHERE up IS NOT NULL GROUP BY 1""",
+        "drift_jensen_shannon": f"""WITH {periods}, cl AS ({cats}), cc AS (SELECT feature, k, sum(ref) AS ref, sum(cur) AS cur FROM cl GROUP BY 1,2),
+ct AS (SELECT feature, ref/sum(ref) OVER (PARTITION BY feature)::DOUBLE AS p, cur/sum(cur) OVER (PARTITION BY feature)::DOUBLE AS q FROM cc)
+SELECT feature, round(sqrt(sum(CASE WHEN p>0 THEN p*log2(2*p/(p+q)) ELSE 0 END + CASE WHEN q>0 THEN q*log2(2*q/(p+q)) ELSE 0 END)/2), 9) AS distance
+FROM ct GROUP BY 1""",
         "drift_report": f"""WITH {periods}, {ks_tests}, {chi_tests}, a AS (SELECT p FROM ks UNION ALL SELECT p FROM chi)
 SELECT count(*) AS columns, CAST(count(*) FILTER (WHERE p<0.05) AS BIGINT) AS drifted,
   CAST(count(*) FILTER (WHERE p<0.05)/count(*)::DOUBLE >= 0.5 AS INT) AS table_drift FROM a""",

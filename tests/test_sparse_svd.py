@@ -1,0 +1,70 @@
+"""Sparse SVD against numpy on the dense matrix."""
+
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fundlens.ml import sparse_svd
+
+WORDS = [f"word{k}" for k in range(60)]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(2)
+    return [" ".join(rng.choices(WORDS[k % 30 : k % 30 + 25], k=rng.randint(0, 20))) for k in range(200)] + [None, ""]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(5)
+
+
+def dense_rows(spark, texts, width):
+    """TF-IDF rows of length one, word by word."""
+    place = {r.w: r.c for r in spark.createDataFrame([(w,) for w in WORDS], "w string").select("w", F.element_at(sparse_svd.hashed("w", width), 1).alias("c")).collect()}
+    counts = np.zeros((len(texts), width))
+    for k, t in enumerate(texts):
+        for w, n in Counter((t or "").split()).items():
+            counts[k, place[w]] += n
+    spread = (counts > 0).sum(axis=0)
+    rows = counts * np.where(spread > 0, np.log((1 + len(texts)) / (1 + spread)) + 1, 0)
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(length > 0, length, 1)
+
+
+def test_all_directions_equal_numpy(spark, docs, texts):
+    dense = dense_rows(spark, texts, 1 << 16)
+    true = np.linalg.svd(dense, compute_uv=False)
+    basis = sparse_svd.fit_sparse_basis(docs, "text", dim=12, more=60)
+    assert np.allclose(basis.values, true[:12], rtol=1e-8)
+    assert basis.right.shape == (1 << 16, 12) and np.allclose(basis.right.T @ basis.right, np.eye(12), atol=1e-8)
+    rows = sparse_svd.with_components(docs, "text", basis).orderBy("id").collect()
+    assert np.allclose(np.array([r.components for r in rows]), dense @ basis.right, atol=1e-9)
+    assert rows[-1].components == rows[-2].components == [0.0] * 12
+
+
+def test_few_directions_come_near(spark, docs, texts):
+    true = np.linalg.svd(dense_rows(spark, texts, 1 << 16), compute_uv=False)[:5]
+    found = sparse_svd.fit_sparse_basis(docs, "text", dim=5, more=20).values
+    assert np.all(found <= true * (1 + 1e-9)) and np.all(found >= 0.85 * true)
+    again = sparse_svd.fit_sparse_basis(docs.repartition(3), "text", dim=5, more=20).values
+    assert np.allclose(found, again, rtol=1e-9)
+
+
+def test_gaussian_rows():
+    rows = sparse_svd.gaussian_rows(np.arange(4000), 30, 1)
+    assert abs(rows.mean()) < 0.01 and abs(rows.std() - 1) < 0.01 and abs(np.corrcoef(rows.T)[0, 1]) < 0.06
+    assert (sparse_svd.gaussian_rows(np.array([7, 99]), 30, 1) == rows[[7, 99]]).all()
+
+
+def test_no_rows_and_clashing_order(spark):
+    empty = spark.createDataFrame([], "id long, text string")
+    basis = sparse_svd.fit_sparse_basis(empty, "text", dim=3)
+    assert not basis.values.any() and sparse_svd.with_components(empty, "text", basis).count() == 0
+    one = spark.createDataFrame([(1, "same same word")], "id long, text string")
+    basis = sparse_svd.fit_sparse_basis(one, "text", dim=3)
+    assert np.allclose(basis.values, [1, 0, 0])
