@@ -12,7 +12,7 @@ from fundlens.plans import views
 from fundlens.plans.oracle_views import ORDER, ORGANIZATIONS, PROJECTS, SCORED
 from fundlens.plans.views import table
 from fundlens.session import run_dir, spread
-from fundlens.text import cells, chat, chunks, clauses, documents, hybrid, lexical, pruned, vectors, word_vectors
+from fundlens.text import cells, chat, chunks, clauses, documents, hybrid, late, lexical, pruned, vectors, word_vectors
 from fundlens.text.tokens import STOP_WORDS, stem_words, words
 
 
@@ -147,6 +147,13 @@ def learned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.vector_search(word_vectors.text_vectors(docs, trained), probes, 5)
 
 
+def late_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten lexical hits of each passage, ranked again by their words' best matches, best three."""
+    docs, queries = _docs(spark, sf_dir), _passages(spark, sf_dir)
+    hits = lexical.bm25_search(lexical.build_index(docs, stemmed=False), queries, 10, match="any")
+    return lexical.top_k(late.late_scores(hits, queries, docs, word_vectors.train(docs)), 3)
+
+
 def _hybrid(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Passages against all documents, by words and by the vectors of their texts."""
     docs, queries = _docs(spark, sf_dir), _passages(spark, sf_dir)
@@ -273,6 +280,7 @@ def text_queries() -> dict:
         "clause_topk": clause_topk,
         "cooccurrence_counts": cooccurrence_counts,
         "learned_topk": learned_topk,
+        "late_topk": late_topk,
         "vector_topk_cells": vector_topk_cells,
         "vector_cells_recall": vector_cells_recall,
         "text_vectors": text_vectors,

@@ -37,11 +37,24 @@ def term_counts(docs: DataFrame, stemmed: bool, id_col: str = "id", text_col: st
     exploded = found.select("id", F.size("_w").alias("doc_len"), F.explode("_w").alias("term"))
     counts = exploded.groupBy("id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
     if stemmed:
-        stems = counts.withColumn("term", stem_words("term"))
-        counts = stems.groupBy("id", "doc_len", "term").agg(F.sum("tf").alias("tf"))
+        counts = stemmed_terms(counts).groupBy("id", "doc_len", "term").agg(F.sum("tf").alias("tf"))
     return counts
 
 
+def stemmed_terms(counts: DataFrame) -> DataFrame:
+    """``counts`` with the stem in place of ``term``: each distinct word is stemmed once, and only words that
+    differ from their stem are joined, broadcast when their counted number allows it, else by (term, salt)."""
+    counts = materialize(counts)
+    stems = counts.select("term").distinct().withColumn("_stem", stem_words("term"))
+    changed = materialize(stems.filter(F.col("_stem") != F.col("term")))
+    if changed.count() <= BROADCAST_ROWS:
+        met = counts.join(F.broadcast(changed), "term", "left")
+    else:
+        copies = changed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = counts.withColumn("_salt", _salt_of()).join(copies, ["term", "_salt"], "left")
+    return met.withColumn("term", F.coalesce("_stem", "term")).select(*counts.columns)
+
+
 def build_index(docs: DataFrame, stemmed: bool = True, id_col: str = "id", text_col: str = "text") -> Index:
     """Index a document table with unique ids. Postings are written once to the shared folder."""
     postings = materialize(
