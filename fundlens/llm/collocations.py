@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from fundlens.llm.fm_index import FMIndex
 from fundlens.session import materialize
 
-SHARD = 1 << 20  # words of a shard
+SHARD = 1 << 19  # words of a shard
 OPEN = 64  # languages that a task has open
 BLOCK = 1 << 20  # bytes of a text that are cut into words at a time
 TAIL = 2  # words that a cut text's next shard repeats
