@@ -6,14 +6,20 @@ scanned. Every rule is a regular expression over the words and gives the interva
 matches; of overlapping detections one that lies inside an interval of higher priority, or of the same
 priority and greater length, is suppressed.
 
+A line is looked at in pieces of ``PIECE`` words with a margin of the longest rule on both sides, so every
+interval, and every interval that can contain it, lies whole in the piece where it starts: work grows in
+proportion to the length of a text, and no position is counted again from the head of the text.
+
 The rules are the product of licence names, versions and the forms in which texts state a licence.
 
-Defined results: null and empty texts have no words and no hits; repeated rows repeat their result; an
-empty table gives no rows.
+Defined results: null and empty texts have no words and no hits; a text of any length is scanned whole; repeated
+rows repeat their result; an empty table gives no rows; columns of the table may have any name but ``scan``.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,18 +103,21 @@ STATEMENTS = [
     ("domain", "public-domain", "(?:released into|dedicated to|is in|placed in) the public domain", 70),
     ("reserved", "proprietary", "all rights reserved", 30),
     ("warranty", "no-warranty", "(?:provided )?as is without warranty of any kind", 20),
-    ("spdx", "spdx", "spdx license identifier [a-z0-9]+(?: [0-9]+)*", 25),
+    ("spdx", "spdx", "spdx license identifier [a-z0-9]+(?: [0-9]+){0,3}", 25),
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", 15),
     ("dual", "dual", "dual licensed under", 20),
     ("terms", "terms", "under the (?:same )?terms (?:and conditions )?of the", 10),
 ]
+#: Names written in one word with their version.
+STATEMENTS += [(f"{n}v{v}", f"{n}-{v}", f"(?:gnu )?{n}v{v}(?: 0)?", 70) for n in ("gpl", "lgpl", "agpl") for v in (1, 2, 3)]
 LICENSE = "(?:public )?licen[sc]e"
+VERSION = "(?:version |v ?)?"
 #: Forms as (expression with the name and version, priority, confidence); the first that states more wins.
 VERSIONED = [
-    ("licensed under (?:the )?(?:terms of )?(?:the )?{name}(?: " + LICENSE + ")?(?: version| v)? {version}", 100, 1.0),
+    ("licensed under (?:the )?(?:terms of )?(?:the )?{name}(?: " + LICENSE + ")? " + VERSION + "{version}", 100, 1.0),
     ("spdx license identifier {name} {version}", 98, 1.0),
-    ("{name} " + LICENSE + "(?: version| v)? {version}", 90, 0.95),
-    ("{name}(?: version| v)? {version}", 70, 0.8),
+    ("{name} " + LICENSE + " " + VERSION + "{version}", 90, 0.95),
+    ("{name} " + VERSION + "{version}", 70, 0.8),
 ]
 PLAIN = [
     ("(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?{name}(?: " + LICENSE + ")?", 60, 0.9),
@@ -134,6 +143,13 @@ def rules() -> list[tuple]:
 GATE = " (?:" + "|".join(sorted({r[0] for r in rules()})) + ") "
 
 
+#: Words that the longest rule can take: all its parts, counted numbers included.
+LONGEST = max(r[2].count(" ") for r in rules()) + 4
+PIECE = 128  # words whose intervals are found together
+TABLE = "array<struct<keyword:string,rules:array<struct<p:string,label:string,rank:int,sure:double>>>>"
+SPANS = "array<struct<start:int,end:int,label:string,rank:int,sure:double>>"
+
+
 def word_line(text: Column) -> Column:
     """``^``, then every word behind a space, then a space."""
     line = F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), CUT, " "))
@@ -144,21 +160,30 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _hits(line: Column, rule: Column) -> Column:
-    """Intervals (first word, end) of all places where a rule matches; the line is cut before each."""
-    pieces = F.split(line, F.concat(F.lit("(?= "), rule["p"], F.lit(" )")))
-    found = F.regexp_extract_all(line, F.concat(F.lit("(?= ("), rule["p"], F.lit(") )")), F.lit(1))
-    start = lambda k: _spaces(F.array_join(F.slice(pieces, F.lit(1), k), ""))
-    return F.transform(
-        found,
-        lambda words, k: F.struct(
-            start(k + 1).alias("start"),
-            (start(k + 1) + _spaces(words) + 1).alias("end"),
-            rule["label"].alias("label"),
-            rule["rank"].alias("rank"),
-            rule["sure"].alias("sure"),
-        ),
+    """Intervals (first word, end) of all places of a piece where a rule matches; the piece is cut before each."""
+    own = F.struct(
+        F.regexp_extract_all(line, F.concat(F.lit("(?= ("), rule["p"], F.lit(") )")), F.lit(1)).alias("found"),
+        F.concat(F.lit("(?= "), rule["p"], F.lit(" )")).alias("cut"),
+    )
+    starts = lambda pieces: F.transform(pieces, lambda _, k: _spaces(F.array_join(F.slice(pieces, F.lit(1), k + 1), "")))
+    interval = lambda words, start: F.struct(
+        start.alias("start"),
+        (start + _spaces(words) + 1).alias("end"),
+        rule["label"].alias("label"),
+        rule["rank"].alias("rank"),
+        rule["sure"].alias("sure"),
     )
+    placed = lambda h: _let(
+        starts_of(h["cut"]), lambda at: F.transform(h["found"], lambda words, k: interval(words, F.get(at, k)))
+    )
+    starts_of = lambda cut: _let(F.split(line, cut), starts)
+    return _let(own, lambda h: F.when(F.size(h["found"]) > 0, placed(h)).otherwise(F.array().cast(SPANS)))
 
 
 def detections(line: Column) -> Column:
@@ -166,16 +191,10 @@ def detections(line: Column) -> Column:
     families: dict[str, list] = {}
     for keyword, label, pattern, rank, sure in rules():
         families.setdefault(keyword, []).append((pattern, label, rank, sure))
-    table = F.array(*[
-        F.struct(
-            F.lit(f" {k} ").alias("keyword"),
-            F.array(*[
-                F.struct(F.lit(p).alias("p"), F.lit(label).alias("label"), F.lit(rank).alias("rank"), F.lit(sure).alias("sure"))
-                for p, label, rank, sure in own
-            ]).alias("rules"),
-        )
-        for k, own in families.items()
-    ])
+    listed = [
+        {"keyword": f" {k} ", "rules": [dict(zip(("p", "label", "rank", "sure"), rule)) for rule in own]} for k, own in families.items()
+    ]
+    table = F.from_json(F.lit(json.dumps(listed)), TABLE)  # a constant, worked out once while planning
     open_ = F.filter(table, lambda f: F.contains(line, f["keyword"]))
     return F.flatten(F.transform(F.flatten(F.transform(open_, lambda f: f["rules"])), lambda r: _hits(line, r)))
 
@@ -188,6 +207,40 @@ def kept(hits: Column) -> Column:
     return F.filter(hits, lambda h: ~F.exists(hits, lambda g: covers(g, h) & wins(g, h)))
 
 
+def spans(line: Column) -> Column:
+    """The kept intervals of a line of any length, in order of the pieces where they start."""
+    size = lambda piece: F.least(piece["n"] - piece["first"], F.lit(PIECE))
+    own = lambda piece: F.transform(
+        F.filter(
+            _let(detections(piece["line"]), kept),
+            lambda h: (h["start"] >= piece["margin"]) & (h["start"] < piece["margin"] + size(piece)),
+        ),
+        lambda h: F.struct(
+            (h["start"] + piece["first"] - piece["margin"]).alias("start"),
+            (h["end"] + piece["first"] - piece["margin"]).alias("end"),
+            h["label"].alias("label"),
+            h["rank"].alias("rank"),
+            h["sure"].alias("sure"),
+        ),
+    )
+    cut = lambda words: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(PIECE)),
+        lambda first: F.struct(
+            first.alias("first"),
+            F.least(first, F.lit(LONGEST)).alias("margin"),
+            F.size(words).alias("n"),
+            F.concat(
+                F.lit("^ "),
+                F.array_join(F.slice(words, F.greatest(first - LONGEST, F.lit(0)) + 1, F.lit(PIECE + 2 * LONGEST)), " "),
+                F.lit(" "),
+            ).alias("line"),
+        ),
+    )
+    gated = lambda pieces: F.filter(pieces, lambda piece: piece["line"].rlike(GATE))
+    words = F.split(F.trim(F.substr(line, F.lit(2))), " ")
+    return F.flatten(F.transform(gated(_let(words, cut)), own)).cast(SPANS)
+
+
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with one struct column ``scan``, always the last.
 
@@ -199,8 +252,8 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("own"), line.alias("line"))
     base = "(?= (?:" + "|".join(BASE) + ") )"
     pieces = F.when(F.contains("line", F.lit(" license ")), F.split("line", base))
-    rows = rows.withColumn("pieces", pieces).withColumn("hits", F.when(F.col("line").rlike(GATE), detections(F.col("line"))))
-    rows = rows.withColumn("spans", F.coalesce(kept(F.col("hits")), F.array().cast("array<struct<start:int,end:int,label:string,rank:int,sure:double>>")))
+    found = F.when(F.col("line").rlike(GATE), spans(F.col("line")))
+    rows = rows.withColumn("pieces", pieces).withColumn("spans", F.coalesce(found, F.array().cast(SPANS)))
     n_words = F.when(F.col("line") == "^ ", F.lit(0)).otherwise(_spaces(F.col("line")) - 1).cast("long")
     n_base = F.coalesce(F.size("pieces") - 1, F.lit(0)).cast("long")
     last = _spaces(F.element_at("pieces", -1))

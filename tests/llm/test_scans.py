@@ -94,6 +94,35 @@ def test_license_scan(make_docs, odd_rows):
     assert license_scan.scanned(make_docs([])).count() == 0
 
 
+def test_license_spans_across_pieces(make_docs):
+    """Texts of many pieces: every interval of the brute force, borders and margins included."""
+    rng = random.Random(9)
+    vocabulary = "mit license the gnu general public version v3 3 0 gplv3 licensed under spdx identifier bsd 2 clause x".split()
+    texts = [" ".join(rng.choices(vocabulary, k=n)) for n in (127, 128, 129, 256, 500)]
+    phrase = "licensed under the terms of the gnu general public license version 3 0"
+    texts += [" ".join(["x"] * n + [phrase] + ["x"] * 90) for n in range(100, 136, 5)]
+    got = {r.doc_id: r.scan.spans for r in license_scan.scanned(make_docs(list(enumerate(texts)))).collect()}
+    for k, text in enumerate(texts):
+        assert sorted((x.start, x.end, x.label, x.rank) for x in got[k]) == brute_spans(line(text))
+
+
+def test_license_scan_of_a_megabyte(make_docs):
+    """Work grows in proportion to the text: a megabyte of repeated phrases ends within seconds."""
+    one = "this is under mit license version 2.0 "
+    r = license_scan.scanned(make_docs([(1, one * 27_000)])).head().scan
+    assert (r.n_words, r.n_base, r.first_word, r.last_word) == (8 * 27_000, 27_000, 3, 8 * 26_999 + 3)
+    assert [(x.start, x.end) for x in r.spans] == [(8 * k + 3, 8 * k + 5) for k in range(27_000)]
+
+
+def test_license_versions_written_with_v(make_docs):
+    stated = {
+        "GNU GPLv3": "gpl-3", "GPLv2 or later": "gpl-2", "GNU General Public License v3": "gpl,gpl-3", "GPL v2": "gpl-2",
+        "LGPLv3": "lgpl-3", "Apache License v2.0": "apache,apache-2.0", "Mozilla Public License, v. 2.0": "mpl-2.0",
+    }
+    got = {r.doc_id: r.scan.labels for r in license_scan.scanned(make_docs(list(enumerate(stated)))).collect()}
+    assert [got[k] for k in range(len(stated))] == list(stated.values())
+
+
 def test_license_labels(make_docs):
     got = {r.doc_id: r.scan.labels for r in license_scan.scanned(make_docs(list(enumerate(TEXTS)))).collect()}
     assert got[0] == "apache,apache-2.0" and got[2] == "gpl,gpl-3" and got[6] == ""
