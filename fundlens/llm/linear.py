@@ -1,7 +1,7 @@
 """Hashed n-gram features and logistic regression in numpy, for tasks.
 
-A document is cut into byte n-grams of its UTF-8 text and into words; each is hashed into a fixed
-number of slots. Fitting takes a bounded sample of labelled rows; scoring takes every row.
+A document is cut into n-grams of its characters, or of the bytes of its UTF-8 text, and into words; each is
+hashed into a fixed number of slots. Fitting takes a bounded sample of labelled rows; scoring takes every row.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import numpy as np
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0x100000001B3
 POWERS = np.array([pow(BASE, i, 1 << 64) for i in range(256)], dtype=np.uint64)
+BLOCK = 1 << 18  # code points of a text that are looked at together
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -30,6 +31,32 @@ def grams(raw: np.ndarray, n: int, bits: int) -> np.ndarray:
     return (value >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def char_counts(text: str, sizes: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all runs of ``sizes`` code points, and how often each occurs.
+
+    A text is read in blocks of ``BLOCK`` code points that overlap by the longest run, so memory does not grow
+    with its length; counts of the blocks are added up.
+    """
+    over = max(sizes) - 1
+    total = None
+    for first in range(0, max(len(text), 1), BLOCK):
+        part = np.frombuffer(text[first : first + BLOCK + over].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        found = []
+        for n in sizes:
+            starts = min(max(len(part) - n + 1, 0), BLOCK)
+            value = np.full(starts, n, dtype=np.uint64)
+            for k in range(n):
+                value = value * np.uint64(BASE) + part[k : k + starts]
+            found.append(((value * ODD) >> np.uint64(64 - bits)).astype(np.int32))
+        slot, n_here = np.unique(np.concatenate(found), return_counts=True)
+        if first == 0 and len(text) <= BLOCK:
+            return slot, n_here
+        total = np.zeros(1 << bits, dtype=np.int64) if total is None else total
+        total[slot] += n_here
+    slot = np.flatnonzero(total)
+    return slot.astype(np.int32), total[slot]
+
+
 def word_hashes(raw: np.ndarray) -> np.ndarray:
     """One 64-bit hash per word of the bytes ``raw``."""
     inside = ~SPACE[raw]
@@ -46,13 +73,6 @@ def slots(hashes: np.ndarray, bits: int) -> np.ndarray:
     return ((hashes * ODD) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def distinct(cols: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Each slot of ``cols`` once; ``last`` is scratch space with a place per slot."""
-    order = np.arange(len(cols), dtype=last.dtype)
-    last[cols] = order
-    return cols[last[cols] == order]
-
-
 def fit_logistic(
     rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, weight: np.ndarray,
     dims: int, l2: float, steps: int,

@@ -1,28 +1,30 @@
-"""Toxicity: a linear classifier on byte n-grams scaled by naive Bayes log-count ratios.
+"""Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Each text is its set of hashed byte n-grams (spaces mark word ends, A-Z in lower case). A feature's
-value is the log ratio of its smoothed frequency among toxic and other training rows, and the values
-of a row are brought to length one; a logistic regression weighs them and Platt scaling on held-out
-folds gives the score.
+Each text is its hashed runs of 3 to 6 code points in lower case (any white space is a space, one stands at both
+ends) with the logarithm of one more than their counts. A feature's value is this log count times the log ratio
+of its smoothed sums among toxic and other training rows, and the values of a row are brought to length one; a
+logistic regression weighs them and Platt scaling on held-out folds gives the score.
 
 Defined results: null and empty texts have no n-grams and get the score of the intercept; without
-training rows of both classes every score is 0.
+training rows of both classes every score is 0. A text of any length is read whole, in blocks; repeated rows get
+the same score; an empty table gives no rows; a column of the table may have the name of the score if another is given.
 """
 
 from __future__ import annotations
 
+import re
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from fundlens.llm.linear import SPACE, distinct, fit_logistic, fit_platt, grams, pack, unpack
+from fundlens.llm.linear import char_counts, fit_logistic, fit_platt, pack, unpack
 from fundlens.llm.sample import fitted, labelled_sample
 from fundlens.llm.shared import with_columns
 
 BITS = 18  # slots of all n-grams
-SIZES = (4, 5)
+SIZES = (3, 4, 5, 6)
 SAMPLE = 1_500  # labelled rows per class at most
 FOLDS = 2
 LEAST_DOCS = 3  # training rows that an n-gram must be in
@@ -31,30 +33,28 @@ STEPS = 60
 TOXIC_FROM = 0.7
 
 
-def features(text: str | None, last: np.ndarray) -> np.ndarray:
-    """Distinct slots of the text's n-grams."""
-    raw = np.frombuffer(b" " + (text or "").encode().lower() + b" ", dtype=np.uint8)
-    raw = np.where(SPACE[raw], np.uint8(32), raw)
-    return distinct(np.concatenate([grams(raw, n, BITS) for n in SIZES]), last)
+WHITE = re.compile(r"\s")
 
 
-def _featurizer():
-    last = np.zeros(1 << BITS, dtype=np.int64)
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the text's n-grams and their log counts; none for an empty text."""
+    if not text:
+        return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.float32)
+    slot, n = char_counts(WHITE.sub(" ", f" {text.lower()} "), SIZES, BITS)
+    return slot, np.log1p(n).astype(np.float32)
 
-    def present(text):
-        own = features(text, last).astype(np.int32)
-        return own, np.ones(len(own), dtype=np.int8)
 
-    return present
+def _featurizer():
+    return features
 
 
-def _ratios(cols, toxic_row, n_toxic, n_other, dims):
-    """Naive Bayes log-count ratio per slot, from counts of documents."""
-    toxic = np.bincount(cols[toxic_row], minlength=dims)
-    other = np.bincount(cols[~toxic_row], minlength=dims)
+def _ratios(cols, values, docs_toxic, n_toxic, n_other, dims):
+    """Naive Bayes log-count ratio per slot, from sums of log counts per training row."""
+    toxic = np.bincount(cols[docs_toxic], weights=values[docs_toxic], minlength=dims)
+    other = np.bincount(cols[~docs_toxic], weights=values[~docs_toxic], minlength=dims)
     least = 1 / max(min(n_toxic, n_other), 1)
     ratio = np.log(toxic / max(n_toxic, 1) + least) - np.log(other / max(n_other, 1) + least)
-    ratio[(toxic + other < LEAST_DOCS) | (np.abs(ratio) < LEAST_RATIO)] = 0
+    ratio[(np.bincount(cols, minlength=dims) < LEAST_DOCS) | (np.abs(ratio) < LEAST_RATIO)] = 0
     return ratio
 
 
@@ -66,22 +66,22 @@ def _fit(rows, cols, values, y, weight):
     even = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
 
     def length(ratio):
-        return np.sqrt(np.bincount(rows, weights=ratio[cols] ** 2, minlength=len(y))) + 1e-9
+        return np.sqrt(np.bincount(rows, weights=(values * ratio[cols]) ** 2, minlength=len(y))) + 1e-9
 
     def train(used):
         own = used[rows]
-        ratio = _ratios(cols[own], y[rows[own]] > 0, (y * used).sum(), ((1 - y) * used).sum(), dims)
+        ratio = _ratios(cols[own], values[own], y[rows[own]] > 0, (y * used).sum(), ((1 - y) * used).sum(), dims)
         own &= ratio[cols] != 0
         own_rows, own_cols = rows[own], cols[own]
-        values = ratio[own_cols] / length(ratio)[own_rows]
-        w, b = fit_logistic(own_rows, own_cols, values, y, even * used + 1e-12, dims, 1e-4, STEPS)
+        scaled = values[own] * ratio[own_cols] / length(ratio)[own_rows]
+        w, b = fit_logistic(own_rows, own_cols, scaled, y, even * used + 1e-12, dims, 1e-4, STEPS)
         return w * ratio, ratio, b
 
     fold = np.arange(len(y)) % FOLDS
     margin = np.zeros(len(y))
     for k in range(FOLDS):
         table, ratio, b = train(fold != k)
-        own = np.bincount(rows, weights=table[cols], minlength=len(y)) / length(ratio) + b
+        own = np.bincount(rows, weights=values * table[cols], minlength=len(y)) / length(ratio) + b
         margin = np.where(fold == k, own, margin)
     slope, intercept = fit_platt(margin, y, weight)
     table, ratio, b = train(np.ones(len(y), dtype=bool))
@@ -96,11 +96,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column, per_class: int
 def _scorer(model: bytes):
     own = unpack(model)
     table, squares, (b, slope, intercept) = own["table"], own["ratio"].astype(np.float64) ** 2, own["line"]
-    last = np.zeros(1 << BITS, dtype=np.int64)
 
     def margin(text):
-        slots = features(text, last)
-        return table[slots].sum(dtype=np.float64) / (np.sqrt(squares[slots].sum()) + 1e-9) + b
+        slots, logs = features(text)
+        return (logs * table[slots]).sum(dtype=np.float64) / (np.sqrt((logs**2 * squares[slots]).sum()) + 1e-9) + b
 
     def work(texts):
         margins = np.array([margin(t) for t in texts], dtype=np.float64)

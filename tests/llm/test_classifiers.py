@@ -86,6 +86,38 @@ def test_toxicity_held_out(spark, make_docs, labelled):
     assert sum(right) / len(right) >= 0.95
 
 
+def test_character_counts(monkeypatch):
+    """Runs of code points, not bytes; a text in many blocks counts the same."""
+    text = "réeux achlich 字字字 \U0001f389 réeux " * 40
+    sizes, bits = (3, 4, 5, 6), 18
+    whole = dict(zip(*(x.tolist() for x in linear.char_counts(text, sizes, bits))))
+    runs = Counter(text[k : k + n] for n in sizes for k in range(len(text) - n + 1))
+    slot = lambda run: linear.char_counts(run, (len(run),), bits)[0][0]
+    want = Counter()
+    for run, n in runs.items():
+        want[int(slot(run))] += n
+    assert whole == want
+    for block in (1, 5, 97, len(text) - 1):
+        monkeypatch.setattr(linear, "BLOCK", block)
+        assert dict(zip(*(x.tolist() for x in linear.char_counts(text, sizes, bits)))) == whole
+    assert all(len(x) == 0 for x in linear.char_counts("ab", sizes, bits))
+    assert len(linear.char_counts("\ud800abc", sizes, bits)[0]) == 3
+
+
+def test_toxicity_held_out_per_language(spark):
+    """At least half of the held-out toxic rows of every language, and hardly a clean row."""
+    sf = "/root/testdata/sf0.1"
+    rows = queries.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(
+        spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("lang").alias("_lang")), "doc_id"
+    )
+    found = rows.filter("held_out").groupBy("_lang").agg(
+        F.sum("toxic").alias("n"), F.sum(F.col("toxic") * F.col("predicted")).alias("hits"),
+        F.sum((1 - F.col("toxic")) * F.col("predicted")).alias("wrong"), F.count("*").alias("all"),
+    ).collect()
+    print(sorted((r["_lang"], r["hits"], r["n"], r["wrong"], r["all"]) for r in found))
+    assert len(found) == 4 and all(2 * r["hits"] >= r["n"] and r["wrong"] <= 0.02 * r["all"] for r in found)
+
+
 def test_without_labels_of_both_classes(spark, make_docs, odd_rows):
     docs = make_docs(odd_rows)
     for rows in ([], [(4, 1, 0), (5, 1, 0), (None, 0, 1), (4, None, None)]):
