@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundlens.functions import names
-from fundlens.ml import anomaly, drift, evaluate, features, model, preprocess, reduce, resample, select, sparse_svd, trees
+from fundlens.ml import anomaly, drift, evaluate, features, isotonic, model, preprocess, reduce, resample, select, sparse_svd, trees
 from fundlens.operators import ordering
 from fundlens.operators.fold import consolidate
 from fundlens.plans import views
 from fundlens.plans.oracle_views import ORDER, ORGANIZATIONS, PROJECTS, SCORED, VOCABULARY
 from fundlens.plans.views import table
-from fundlens.session import materialize, spread
+from fundlens.session import materialize, run_dir, spread
+from fundlens.sources import tables
 from fundlens.text.documents import confidence, predicted_label
 
 SMALL = model.Params(trees=10, depth=3, rate=0.1, pos_weight=2.0)
@@ -61,6 +64,35 @@ def impute_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.melt(scaled, AMOUNTS, ["id"]).withColumn("value", F.round("value", 6))
 
 
+def stored_preprocessor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scaled amounts by fitted steps that were written and read again."""
+    df = materialize(_amounts(spark, sf_dir).select("id", *AMOUNTS))
+    path = f"{run_dir(spark)}/preprocessor_{uuid.uuid4().hex}"
+    preprocess.fit_preprocessor(df, AMOUNTS, [], []).save(spark, path)
+    scaled = preprocess.load_preprocessor(spark, path).scaled(df).select("id", *AMOUNTS)
+    return ordering.melt(scaled, AMOUNTS, ["id"]).withColumn("value", F.round("value", 6))
+
+
+def training_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prepared features, written as CSV (lists as JSON text) and read again."""
+    lists = [c for c in features.MULTILABEL if c != "euroSciVoc_intermediate"]
+    plain = ["id", "label", "title", "objective", "durationDays", "n_partners", "n_country", "n_sme"]
+    df = _prepared(spark, sf_dir).select(*plain, *lists)
+    path = f"{run_dir(spark)}/snapshot_{uuid.uuid4().hex}"
+    tables.write_csv(df, path)
+    kinds = ", ".join(f"`{f.name}` {'string' if f.name in lists else f.dataType.simpleString()}" for f in df.schema.fields)
+    read = spark.read.schema(kinds).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    text = lambda c: F.array_join(F.from_json(c, "array<string>"), "|").alias(c)
+    return read.select(*plain, *[text(c) for c in lists])
+
+
+def isotonic_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of returned lines as an increasing function of the quantity."""
+    lines = table(spark, sf_dir, "lineitem")
+    blocks = isotonic.fit_blocks(lines, F.col("l_quantity"), (F.col("l_returnflag") == "R").cast("int"))
+    return blocks.select("low", "high", F.round("value", 9).alias("share"), F.col("weight").cast("long").alias("n_lines"))
+
+
 def onehot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set entries per one-hot column of the assembled vector."""
     df = _amounts(spark, sf_dir)
@@ -300,6 +332,9 @@ def model_queries() -> dict:
         "features_levels": features_levels,
         "feature_medians": medians,
         "impute_scale": impute_scale,
+        "stored_preprocessor": stored_preprocessor,
+        "training_snapshot": training_snapshot,
+        "isotonic_shares": isotonic_shares,
         "onehot_counts": onehot_counts,
         "multilabel_counts": multilabel_counts,
         "stratified_split": stratified_split,
@@ -398,6 +433,13 @@ CASE WHEN starts_with(raw, 'cat__') THEN {_title(spaced("split_part(substr(raw,
    CASE WHEN val='' THEN '' ELSE ': ' || {_title(spaced("CASE WHEN starts_with(val, 'list_' || inner_name || '_') THEN substr(val, length(inner_name)+7) ELSE " + after('val', 'list_') + " END"))} END
  ELSE {_title(spaced("replace(raw, '__', ': ')"))} END AS name"""
     kind = "replace(p_name, ' ', '_')"
+    steps = """WITH p AS (SELECT CAST(l_quantity AS DOUBLE) AS x, count(*) AS n, count(*) FILTER (WHERE l_returnflag='R') AS r
+  FROM lineitem WHERE l_quantity IS NOT NULL AND l_returnflag IS NOT NULL GROUP BY 1),
+c AS (SELECT x, n, sum(n) OVER w AS cn, sum(r) OVER w AS cr, sum(r) OVER w - r AS br, sum(n) OVER w - n AS bn FROM p WINDOW w AS (ORDER BY x)),
+m AS (SELECT i.x AS i, j.x AS j, (j.cr - i.br)::DOUBLE / (j.cn - i.bn)::DOUBLE AS mean FROM c i JOIN c j ON i.x <= j.x),
+l AS (SELECT k.x, m.i, min(m.mean) AS least FROM c k JOIN m ON m.i <= k.x AND m.j >= k.x GROUP BY 1, 2),
+v AS (SELECT x, max(least) AS value FROM l GROUP BY 1)
+SELECT min(x) AS low, max(x) AS high, round(value, 9) AS share, CAST(sum(n) AS BIGINT) AS n_lines FROM v JOIN p USING (x) GROUP BY value"""
     periods = ", ".join(
         f"{n} AS (SELECT * FROM orders WHERE o_orderdate {op} TIMESTAMP '1998-01-01')" for n, op in (("ra", "<"), ("rb", ">="))
     )
@@ -426,7 +468,8 @@ chi AS (SELECT feature, st, freedom, (SELECT exp(-st/2) * sum((st/2)**i / factor
         f"replace(replace(substr(top{i}_feature, 6), '_', ' '), 'n ', 'Number of ') AS top{i}_feature, "
         f"round(top{i}_shap::DOUBLE, 4) AS top{i}_shap" for i in range(1, 7)
     )
-    return {
+    oracles = {
+        "isotonic_shares": steps,
         "features_prepared": base + lists + """
 SELECT id, label, title, objective, durationDays, coalesce(n, 0) AS n_partners, coalesce(n, 0) AS n_country,
   coalesce(n_sme, 0) AS n_sme, coalesce(list_country, '') AS list_country, coalesce(list_activityType, '') AS list_activityType,
@@ -486,3 +529,4 @@ FROM ct GROUP BY 1""",
 SELECT count(*) AS columns, CAST(count(*) FILTER (WHERE p<0.05) AS BIGINT) AS drifted,
   CAST(count(*) FILTER (WHERE p<0.05)/count(*)::DOUBLE >= 0.5 AS INT) AS table_drift FROM a""",
     }
+    return oracles | {"stored_preprocessor": oracles["impute_scale"], "training_snapshot": oracles["features_prepared"]}
