@@ -7,7 +7,8 @@ The drawn blocks of all sources are the colours of an urn that a binary tree spl
 shards: at each node the left half takes a multivariate hypergeometric share, so each shard gets exact
 quotas of every source and reads its own run of places. Within a shard documents lie in hash order.
 
-The driver holds one row per source (size, target, cut). Nodes of the tree are computed in the tasks.
+The driver holds one row per source (size, target, cut). Nodes of the tree are computed in the tasks. Urns of any
+number of blocks are drawn exactly.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source of its own and
 comes last; rows equal in id and text share their place, and a cut falls on each of them alike; an empty
@@ -35,6 +36,7 @@ SHARD_WORDS = 200_000  # a table of terabytes takes some ten million
 RUN = 1024  # blocks whose words are summed before the running sum
 BROADCAST_SOURCES = 50_000
 SEED = 20
+LARGE_URN = 10**9  # numpy draws from smaller urns only
 TOP_NODES = 4096  # nodes of the tree that a task remembers; others are drawn again, with the same result
 
 
@@ -60,6 +62,40 @@ def permutation(source: int, which: int, n: int) -> tuple[int, int]:
     return factor, int(rng.integers(0, n))
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """How many of the ``good`` balls are among ``sample`` balls of the urn; exact for urns of any size.
+
+    The balls lie in random order and the first ``sample`` are taken. The middle good ball has a
+    beta-binomial number of bad ones before it, so one draw tells on which side of the cut half of the
+    good balls lie; the other half is drawn in the same way until numpy can take the rest.
+    """
+    taken = 0
+    while good + bad >= LARGE_URN and good and sample < good + bad:
+        middle = (good + 1) // 2
+        before = int(rng.binomial(bad, rng.beta(middle, good + 1 - middle)))
+        if middle + before <= sample:
+            taken, good, bad, sample = taken + middle, good - middle, bad - before, sample - middle - before
+        else:
+            good, bad = middle - 1, before
+            if sample >= good + bad:
+                return taken + good
+    if not good or sample >= good + bad:
+        return taken + good
+    return taken + (int(rng.hypergeometric(good, bad, sample)) if sample else 0)
+
+
+def urn_share(rng: np.random.Generator, quotas: np.ndarray, sample: int) -> np.ndarray:
+    """How many balls of each colour are among ``sample`` balls of the urn."""
+    if int(quotas.sum()) < LARGE_URN:
+        return rng.multivariate_hypergeometric(quotas, sample, method="marginals")
+    share, rest = np.zeros_like(quotas), int(quotas.sum())
+    for k, own in enumerate(quotas.tolist()):
+        rest -= own
+        share[k] = hypergeometric(rng, own, rest, sample)
+        sample -= int(share[k])
+    return share
+
+
 class Tree:
     """The splitting tree: which shard holds the g-th draw of a source."""
 
@@ -72,7 +108,7 @@ class Tree:
             return self.nodes[node]
         total = int(quotas.sum())
         rng = np.random.default_rng([SEED, 1 << 40, node])
-        share = rng.multivariate_hypergeometric(quotas, total // 2, method="marginals") if total else quotas
+        share = urn_share(rng, quotas, total // 2) if total else quotas
         if node < TOP_NODES:
             self.nodes[node] = share
         return share

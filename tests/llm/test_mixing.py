@@ -48,6 +48,29 @@ def test_tree_remembers_few_nodes(monkeypatch):
     assert (few.shard(source, draw) == whole).all() and len(few.nodes) < 4
 
 
+@pytest.mark.parametrize("urn", [(7, 9, 6), (40, 3, 20), (1, 50, 25), (12, 0, 5), (0, 8, 3), (30, 30, 60)])
+def test_large_urns_follow_the_same_law(monkeypatch, urn):
+    """Draws by halves against numpy's, with every urn counted as a large one."""
+    monkeypatch.setattr(mixing, "LARGE_URN", 2)
+    rng, n = np.random.default_rng(3), 20_000
+    own = np.bincount([mixing.hypergeometric(rng, *urn) for _ in range(n)], minlength=urn[0] + 1) / n
+    theirs = np.bincount(np.random.default_rng(4).hypergeometric(*urn, n), minlength=urn[0] + 1) / n
+    assert len(own) == urn[0] + 1 and np.abs(own - theirs).max() < 0.02
+
+
+def test_tree_of_more_blocks_than_numpy_draws_from():
+    quotas = np.array([6 * 10**9, 0, 1, 10**9 + 7, 10**12])
+    share = mixing.urn_share(np.random.default_rng(5), quotas, int(quotas.sum()) // 2)
+    assert share.sum() == quotas.sum() // 2 and (0 <= share).all() and (share <= quotas).all()
+    spread = np.sqrt(quotas) / 2
+    assert (np.abs(share - quotas / 2) <= 6 * spread + 1).all()
+    tree = mixing.Tree(quotas, 1 << 12)
+    source = np.repeat([0, 3, 4], 50)
+    draw = np.random.default_rng(6).integers(0, 10**9, len(source))
+    found = tree.shard(source, draw)
+    assert (found >= 0).all() and (found < 1 << 12).all() and (found == mixing.Tree(quotas, 1 << 12).shard(source, draw)).all()
+
+
 def some_docs(n=400):
     rng = random.Random(3)
     sources = ["a", "b", "ä", None, "c", ""]
