@@ -156,6 +156,17 @@ def test_language_held_out(spark, sf):
     assert all(0 <= r.score <= 1 for r in rows) and {r.lang_pred for r in rows} <= {*lang.values(), "und"}
 
 
+def test_passages_lie_anywhere_in_a_text(make_docs):
+    """A head that all texts share is not what the dictionaries hold, and no passage is longer than asked for."""
+    texts = ["head " * 100 + f"{k:04d} body é " * 400 for k in range(60)]
+    docs = make_docs([(k, t, "de", "s") for k, t in enumerate(texts)] + [(60, "kurz", "nl", "s"), (61, None, "nl", "s")])
+    found = language_id.fit_dictionaries(docs, F.lit(True), passage=200)
+    passages = found["de"].decode().split("\n")
+    assert found["nl"] == b"kurz" and len(passages) == 60 and {len(p) for p in passages} == {200}
+    assert all(any(p in t for t in texts) for p in passages) and sum("body" in p for p in passages) > 45
+    assert found == language_id.fit_dictionaries(docs.repartition(3), F.lit(True), passage=200)
+
+
 def test_language_odd_rows(make_docs, odd_rows):
     docs = make_docs(odd_rows).withColumn("score", F.lit("own"))
     contents = language_id.fit_dictionaries(docs, F.lit(True))
