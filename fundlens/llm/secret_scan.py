@@ -1,7 +1,9 @@
 """Secret scans: a random forest over candidate strings, in DataFrame operations only.
 
 A candidate is a run of at least ten letters, digits and ``+/_-`` with a digit, or of sixteen with both
-cases, inside a word of the text. Its features: length, transitions between character classes, share of
+cases, inside a word of the text; or the value that a word assigns to a secret name (``password = hunter2``,
+``pwd: S3c!r3t#9x``), of at least ``SHORTEST`` characters of any kind, up to a quote or the end of its word.
+Values of letters alone count only for names of passwords. Its features: length, transitions between character classes, share of
 distinct characters, dictionary coverage (letters that lie in frequent words of the corpus or in words
 that mark placeholders), its path (the row's ``path`` column) and the words around it. The forest is
 trained on labelled findings and removes false positives.
@@ -11,7 +13,8 @@ Findings have the columns candidate, before, after, path and label. The corpus h
 numbers, addresses and placeholders, each written in several neighbourhoods, from hashes of row numbers.
 
 Defined results: null and empty texts have no candidates; repeated rows repeat their findings; a null
-path counts as empty; an empty table gives no findings.
+path counts as empty; an empty table gives no findings; a text of any length is read whole, and of the words
+around a candidate the nearest 60 characters each are looked at.
 """
 
 from __future__ import annotations
@@ -30,10 +33,14 @@ FINDINGS = 6_000
 TREES, DEPTH = 40, 9
 SECRET_FROM = 0.5
 DICTIONARY = 1_000  # most frequent words of the corpus that count as dictionary words
+OCCURS = 3  # places that such a word must have, so that a small corpus does not take its secrets for words
+SHORTEST = 6  # characters of an assigned value; replacing shorter ones would spoil their texts
 RUNS = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{10,}"
 #: Words that mark secrets, other identifiers and placeholders.
 SECRET_WORDS = "password passwd pwd pass secret token apikey api_key key auth credential credentials bearer private access_key"
 OTHER_WORDS = "commit sha sha1 sha256 md5 checksum digest uuid guid id phone tel call card version http https www mail order isbn build"
+PASSWORD_WORDS = "password passwd pwd pass passphrase"
+PLAIN_WORDS = "required optional string integer boolean function enabled disabled unknown invalid missing incorrect protected forgotten expired changed reset field value"
 DUMMY_WORDS = "example sample test dummy changeme placeholder your here xxx todo insert redacted fake default none null foo bar"
 FEATURES = [
     "n", "n_digit", "n_upper", "n_lower", "n_sign", "swaps", "vowel_steps", "digit_steps", "distinct",
@@ -45,10 +52,31 @@ def _any_of(words: str) -> str:
     return r"(?:^|[^a-z0-9])(?:" + "|".join(words.split()) + r")(?:$|[^a-z0-9])"
 
 
+def _names(words: str, end: str) -> str:
+    """A pattern of a secret name, perhaps quoted, and what follows it."""
+    return rf"(?i)(?:^|[^A-Za-z0-9])(?:{'|'.join(words.split())})[\"'`]?{end}"
+
+
+def _assigned(word: Column, before: Column, earlier: Column) -> Column:
+    """The value that ``word`` holds for a secret name; null if there is none."""
+    sign = "(?::=|=>|=|:)"
+    value = lambda rest: F.regexp_replace(F.regexp_extract(rest, "^[\"'`]?([^\"'`]+)", 1), r"[\])}>,;.]+$", "")
+
+    def found(names):
+        inside = F.regexp_extract(word, _names(names, sign + "(.+)$"), 1)
+        follows = before.rlike(_names(names, sign + "$")) | (before.rlike(f"^{sign}$") & earlier.rlike(_names(names, "$")))
+        own = F.when(word.rlike("[=:]") & (inside != ""), inside).when(before.rlike("[=:>]$") & follows, word)
+        return value(own)
+
+    other, password = found(SECRET_WORDS), found(PASSWORD_WORDS)
+    long = lambda v: F.length(v) >= SHORTEST
+    return F.when(long(other) & other.rlike("[^A-Za-z]"), other).when(long(password), password)
+
+
 def corpus_words(docs: DataFrame, n: int = DICTIONARY) -> list[str]:
     """The most frequent lower-case words of three to twelve letters, counted over all texts."""
     word = docs.select(F.explode(F.split("text", r"[^A-Za-z]+")).alias("w")).filter(F.length("w").between(3, 12))
-    top = word.groupBy(F.lower("w").alias("w")).count().orderBy(F.desc("count"), "w").limit(n)
+    top = word.groupBy(F.lower("w").alias("w")).count().filter(F.col("count") >= OCCURS).orderBy(F.desc("count"), "w").limit(n)
     return [r["w"] for r in top.collect()]
 
 
@@ -58,19 +86,20 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), own.alias("path"), F.split("text", SPACES).alias("words"))
     each = rows.select("doc_id", "t", "path", "words", F.posexplode("words").alias("word_no", "word"))
     shape = F.col("word").rlike(r"[0-9]") | F.col("word").rlike(r"[a-z][A-Z].*[a-z][A-Z]")
-    likely = each.filter((F.length("word") >= 10) & shape & F.col("word").rlike(RUNS))
     near = lambda k: F.coalesce(F.get("words", F.col("word_no") + k), F.lit(""))
+    named = F.col("word").rlike("[=:]") | near(-1).rlike("[=:>]$")
+    likely = each.filter(((F.length("word") >= 10) & shape & F.col("word").rlike(RUNS)) | named)
+    good = lambda c: c.rlike("[0-9]") | ((F.length(c) >= 16) & c.rlike("[a-z][A-Z].*[a-z][A-Z]"))
+    runs = F.filter(F.regexp_extract_all("word", F.lit(RUNS), F.lit(0)), good)
+    value = F.array_compact(F.array(_assigned(F.col("word"), near(-1), near(-2))))
     likely = likely.select(
         "doc_id", "t", "path", "word_no", "word",
         F.concat_ws(" ", *[F.right(near(-k), F.lit(60)) for k in (3, 2, 1)]).alias("left"),
         F.left(near(1), F.lit(60)).alias("after"),
-        F.explode(F.regexp_extract_all("word", F.lit(RUNS), F.lit(0))).alias("candidate"),
-    )
-    good = F.col("candidate").rlike("[0-9]") | (
-        (F.length("candidate") >= 16) & F.col("candidate").rlike("[a-z][A-Z].*[a-z][A-Z]")
+        F.explode(F.concat(runs, F.array_except(value, runs))).alias("candidate"),
     )
     within = F.expr("substring_index(word, candidate, 1)")
-    return likely.filter(good).select(
+    return likely.select(
         "doc_id", "t", "word_no", "candidate",
         F.concat_ws(" ", "left", F.right(within, F.lit(60))).alias("before"), "after", "path",
     )
@@ -87,8 +116,8 @@ def features(rows: DataFrame, words: list[str]) -> DataFrame:
     c = F.col("candidate")
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     kinds = "".join("v" if x in "aeiou" else "c" for x in lower)
-    classes = F.translate(c, upper + lower + "0123456789+/_-", "u" * 26 + kinds + "d" * 10 + "s" * 4)
-    known = F.array(*[F.lit(w) for w in sorted({*words, *DUMMY_WORDS.split(), *SECRET_WORDS.split()})])
+    classes = F.translate(F.regexp_replace(c, "[^A-Za-z0-9]", "-"), upper + lower + "0123456789+/_-", "u" * 26 + kinds + "d" * 10 + "s" * 4)
+    known = F.array(*[F.lit(w) for w in sorted({*words, *DUMMY_WORDS.split(), *SECRET_WORDS.split(), *PLAIN_WORDS.split()})])
     runs = F.split(F.lower(c), "[^a-z]+")
     inside = F.filter(runs, lambda r: (F.length(r) >= 3) & F.array_contains(known, r))
     low_before, low_path = F.lower("before"), F.lower(F.coalesce("path", F.lit("")))
@@ -150,7 +179,24 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         F.when(dummy, secret_before).otherwise(no_before).alias("before"),
         word.alias("after"), paths.alias("path"), F.lit(0.0).alias("label"),
     )
-    return yes.union(no)
+    return yes.union(no).union(_assigned_findings(ids, number, digest, pick, digits, word, paths))
+
+
+def _assigned_findings(ids, number, digest, pick, digits, word, paths) -> DataFrame:
+    """Passwords that people make and plain or computed values, half of each, behind secret names."""
+    spelled = lambda salt, n: F.substring(F.translate(digest(salt), "0123456789abcdef", "bakedomirusnltop"), 1, n)
+    length = F.lit(6) + F.pmod(number("length"), F.lit(6)).cast("int")
+    mixed = F.concat(F.initcap(spelled("p", F.lit(4))), F.substring(F.translate(digest("q"), "abcdef", "!#$%&*"), 1, 5))
+    made = pick("made", spelled("p", length + 2), F.concat(spelled("p", length), digits(2, "i")), F.concat(spelled("p", F.lit(6)), digits(1, "i")), F.concat(F.initcap(spelled("p", length)), F.lit("!"), digits(3, "i")), mixed, F.concat_ws("-", spelled("p", F.lit(5)), spelled("q", F.lit(6)), spelled("r", F.lit(4))))
+    name = pick("name", *PASSWORD_WORDS.split(), "secret", "token", "key")
+    plain = pick("plain", *PLAIN_WORDS.split())
+    plain = pick("form", plain, F.concat(plain, F.lit("_"), plain), F.concat(F.lit("${"), F.upper(name), F.lit("}")), F.concat(F.lit("{{"), name, F.lit("}}")), F.concat(F.lit("get_"), name, F.lit("()")), F.concat(F.lit("<"), name, F.lit(">")), F.lit("********"), F.concat(F.lit("your-"), name))
+    before = pick("sign", F.concat(word, F.lit(" "), name, F.lit(" = ")), F.concat(word, F.lit(" "), name, F.lit(": ")), F.concat(name, F.lit("=")), F.concat(word, F.lit(" "), name, F.lit(' = "')), F.concat(F.upper(name), F.lit("=")))
+    secret = F.pmod(number("secret"), F.lit(2)) == 0
+    return ids.select(
+        F.when(secret, made).otherwise(plain).alias("candidate"), before.alias("before"),
+        word.alias("after"), paths.alias("path"), secret.cast("double").alias("label"),
+    )
 
 
 def fit_forest(findings: DataFrame, words: list[str], trees: int = TREES, depth: int = DEPTH) -> PipelineModel:

@@ -165,6 +165,12 @@ SECRETS = [
     (5, "plain prose without any number", None),
     (6, "version 2024-01-12 commit id 8f14e45fceea167a5a36dedd4bea2543 build", None),
     (7, "api_key = your_api_key_here_123", None),
+    (8, "login with password = hunter2, then go", "hunter2"),
+    (9, "set pwd: S3c!r3t#9x now", "S3c!r3t#9x"),
+    (10, "DB_PASSWORD='zorvelquat' la", "zorvelquat"),
+    (11, "password: required and token: optional", None),
+    (12, "the key = ${MY_SECRET} or password={{password}}", None),
+    (13, "a pass: abc and the key: jurisdiction of courts", None),
 ]
 
 
@@ -183,6 +189,21 @@ def test_secret_scan(scanned_secrets):
     assert places == {2, 4}
 
 
+def test_assigned_values(make_docs):
+    """The value behind a secret name, written in any of the ways, and nothing behind other names."""
+    texts = [
+        ("password = hunter2", ["hunter2"]), ("password=hunter2;", ["hunter2"]), ('"password": "hunter2",', ["hunter2"]),
+        ("pwd => 'a!b@c#d$'", ["a!b@c#d$"]), ("db_pass:=hunter2).", ["hunter2"]), ("PASSWORD: hunterhunter", ["hunterhunter"]),
+        ("key: hunterhunter", []), ("name = hunter2", []), ("compass = hunter2", []), ("password hunter2", []),
+        ("password = ab1", []), ("password =", []), ("= hunter2", []), ("password = é!ü?öß", ["é!ü?öß"]),
+        ("token = 0123456789abcdef0", ["0123456789abcdef0"]),
+    ]
+    rows = secret_scan.candidates(make_docs([(k, t) for k, (t, _) in enumerate(texts)])).collect()
+    found = {k: sorted(r.candidate for r in rows if r.doc_id == k) for k in range(len(texts))}
+    assert found == {k: own for k, (_, own) in enumerate(texts)}
+    assert all(r.before.rstrip("\"' ")[-1] in "=:>" for r in rows)
+
+
 def test_redaction_keeps_rows_and_columns(scanned_secrets):
     out = secret_scan.redacted(scanned_secrets, "source")
     assert out.columns == scanned_secrets.columns and out.count() == scanned_secrets.count()
