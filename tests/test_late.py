@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fundlens.operators import skew
 from fundlens.text import late, lexical, word_vectors
 from fundlens.text.tokens import stem
+from tests.helpers import plan
 
 WORDS = [f"word{k}" for k in range(40)]
 
@@ -60,3 +62,15 @@ def test_stems_of_the_vocabulary_are_joined(spark, monkeypatch, most):
     got = lexical.term_counts(docs, stemmed=True)
     assert {(r.id, r.term): r.tf for r in got.collect()} == want
     assert got.filter(F.col("doc_len") != F.when(F.col("id") == 0, 4).otherwise(3)).count() == 0
+
+
+def test_many_stems_are_merged_and_only_frequent_words_copied(spark, monkeypatch):
+    """Copies of the stems were taken for a small table and broadcast, 64 rows a word."""
+    monkeypatch.setattr(lexical, "BROADCAST_ROWS", 0)
+    docs = spark.createDataFrame([(k, "running cats walking dogs") for k in range(30)], "id long, text string")
+    met = lexical.stemmed_terms(lexical.term_counts(docs, stemmed=False))
+    assert "SortMergeJoin" in plan(met) and "sequence" not in plan(met).split("SortMergeJoin")[0]
+    rows = spark.createDataFrame([(k, "a" if k < 25 else "b" if k < 29 else None) for k in range(30)], "id long, w string")
+    table = spark.createDataFrame([("a", 1), ("c", 2)], "w string, v int")
+    got = skew.join_unique(rows, table, "w", ["id"], limit=10)
+    assert sorted((r.id, r.w, r.v) for r in got.collect()) == [(k, "a" if k < 25 else "b" if k < 29 else None, 1 if k < 25 else None) for k in range(30)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fundlens.text import clauses, lexical, pruned
 from fundlens.text.tokens import STOP_WORDS
+from tests.helpers import plan
 
 VOCABULARY = "new york city river park bridge of the old stone newton news cited".split()
 
@@ -127,3 +128,19 @@ def test_pruning_reads_fewer_postings(spark):
     assert row.n_all == 2000 + 21 and row.n_read < 500
     key = lambda df: sorted((r["rank"], r.id, r.score) for r in df.collect())
     assert key(pruned.pruned_search(blocks, asked, 5)) == key(lexical.bm25_search(index, asked, 5, match="any"))
+
+
+@pytest.mark.parametrize("match", ["all", "any"])
+def test_search_in_tiles_equals_all_scores(spark, docs, monkeypatch, match):
+    """Hits stay in tiles of bounded size; rows of null and repeated ids, also of other lengths, count as before."""
+    odd = [*docs, docs[3], (docs[5][0], "new york new"), (None, "york city of storms"), (None, "new")]
+    index = lexical.build_index(spark.createDataFrame(odd, "id long, text string"), stemmed=False)
+    rng = random.Random(5)
+    asked = [(f"q{q}", " ".join(rng.choice(VOCABULARY) for _ in range(rng.randint(1, 4)))) for q in range(30)] + [(None, "new"), ("q1", "york")]
+    asked = spark.createDataFrame(asked, "query_id string, text string")
+    want = lexical.top_k(lexical.bm25_scores(index, asked, match), 4)
+    for name, size in (("TILE_DOCS", 9), ("TILE_TERMS", 20), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(lexical, name, size)
+    got = lexical.bm25_search(index, asked, 4, match)
+    key = lambda df: sorted((r.query_id, r["rank"], r.id is None, r.id or 0, round(r.score, 5)) for r in df.collect())
+    assert key(got) == key(want) and "FlatMapCoGroupsInArrow" in plan(got)
