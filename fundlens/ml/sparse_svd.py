@@ -29,6 +29,8 @@ from fundlens.text.tokens import words
 WIDTH = 1 << 16
 MORE = 10
 ROWS = 1024  # rows of a block
+VALUES = 1 << 19  # most words or columns of a block of more than one row
+DRAWN = 4096  # columns whose Gaussian rows are drawn at a time
 SEED = 5
 
 
@@ -43,6 +45,8 @@ class SparseBasis:
 
 def gaussian_rows(columns: np.ndarray, k: int, seed: int) -> np.ndarray:
     """The rows of the Gaussian matrix that belong to ``columns``: a fixed function of (seed, column, place)."""
+    if len(columns) > DRAWN:
+        return np.concatenate([gaussian_rows(columns[at : at + DRAWN], k, seed) for at in range(0, len(columns), DRAWN)])
     with np.errstate(over="ignore"):
         at = (columns[:, None].astype(np.uint64) * np.uint64(2 * k) + np.arange(2 * k, dtype=np.uint64)) + np.uint64(seed << 40)
         for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
@@ -51,14 +55,25 @@ def gaussian_rows(columns: np.ndarray, k: int, seed: int) -> np.ndarray:
     return np.sqrt(-2 * np.log1p(-even[:, :k])) * np.cos(2 * np.pi * even[:, k:])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``ROWS`` rows and ``VALUES`` elements of a list column at most, or one longer row."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(column).value_lengths().to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(int(np.searchsorted(ends, before + VALUES, side="right")), start + 1)
+            stop = min(stop, start + ROWS, batch.num_rows)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
     """(row, place in ``used``, value, used columns, rows) of blocks of sparse rows."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, ROWS):
-            part = batch.slice(start, ROWS)
-            size = part.column("columns").value_lengths().to_numpy(zero_copy_only=False)
-            used, place = np.unique(part.column("columns").flatten().to_numpy(), return_inverse=True)
-            yield np.repeat(np.arange(part.num_rows), size), place, part.column("values").flatten().to_numpy(), used, part.num_rows
+    for part in _slices(batches, "columns"):
+        size = part.column("columns").value_lengths().to_numpy(zero_copy_only=False)
+        used, place = np.unique(part.column("columns").flatten().to_numpy(), return_inverse=True)
+        yield np.repeat(np.arange(part.num_rows), size), place, part.column("values").flatten().to_numpy(), used, part.num_rows
 
 
 def _times(row: np.ndarray, place: np.ndarray, value: np.ndarray, dense: np.ndarray, n: int) -> np.ndarray:
@@ -115,45 +130,51 @@ def hashed(text: str | Column, width: int = WIDTH) -> Column:
     return F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(width)).cast("int"))
 
 
-def _counted(df: DataFrame, text: str, width: int) -> DataFrame:
-    """``df`` with the sorted distinct ``columns`` of a text and their ``counts``; a null text has none."""
-    schema = StructType([*df.schema.fields, *StructType.fromDDL("columns array<int>, counts array<double>").fields])
+def _count(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Batches with the sorted distinct ``columns`` and their ``counts`` in place of the hashed words ``_h``."""
+    for batch in _slices(batches, "_h"):
+        listed = batch.column("_h")
+        row = np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy(zero_copy_only=False))
+        key, n = np.unique(row * width + listed.flatten().to_numpy(), return_counts=True)
+        ends = pa.array(np.searchsorted(key, np.arange(batch.num_rows + 1) * width).astype(np.int32))
+        found = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in ((key % width).astype(np.int32), n.astype(np.float64))]
+        rest = batch.drop_columns(["_h"])
+        yield pa.RecordBatch.from_arrays([*rest.columns, *found], names=[*rest.schema.names, "columns", "counts"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            listed = batch.column("_h")
-            row = np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy(zero_copy_only=False))
-            key, n = np.unique(row * width + listed.flatten().to_numpy(), return_counts=True)
-            ends = pa.array(np.searchsorted(key, np.arange(batch.num_rows + 1) * width).astype(np.int32))
-            found = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in ((key % width).astype(np.int32), n.astype(np.float64))]
-            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["_h"]).columns, *found], names=schema.fieldNames())
 
-    return df.withColumn("_h", F.coalesce(hashed(text, width), F.array().cast("array<int>"))).mapInArrow(run, schema)
+def _weigh(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Batches with ``values`` in place of ``counts``: counts times idf, of length one."""
+    for batch in _slices(batches, "columns"):
+        columns, counts = batch.column("columns"), batch.column("counts")
+        size = columns.value_lengths().to_numpy(zero_copy_only=False)
+        value = counts.flatten().to_numpy() * idf[columns.flatten().to_numpy()]
+        row = np.repeat(np.arange(batch.num_rows), size)
+        length = np.sqrt(np.bincount(row, weights=value**2, minlength=batch.num_rows))
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        values = pa.ListArray.from_arrays(pa.array(ends), pa.array(value / np.where(length > 0, length, 1)[row]))
+        rest = batch.drop_columns(["counts"])
+        yield pa.RecordBatch.from_arrays([*rest.columns, values], names=[*rest.schema.names, "values"])
 
 
-def _weighted(counted: DataFrame, idf: np.ndarray) -> DataFrame:
-    """``counted`` with ``values``: counts times idf, of length one."""
-    schema = StructType([*counted.drop("counts").schema.fields, StructField("values", ArrayType(DoubleType()))])
-    held = counted.sparkSession.sparkContext.broadcast(idf)
+def _listed(text: str, width: int) -> Column:
+    """The hashed words of a text; a null text has none."""
+    return F.coalesce(hashed(text, width), F.array().cast("array<int>")).alias("_h")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns, counts = batch.column("columns"), batch.column("counts")
-            size = columns.value_lengths().to_numpy(zero_copy_only=False)
-            value = counts.flatten().to_numpy() * held.value[columns.flatten().to_numpy()]
-            row = np.repeat(np.arange(batch.num_rows), size)
-            length = np.sqrt(np.bincount(row, weights=value**2, minlength=batch.num_rows))
-            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            values = pa.ListArray.from_arrays(pa.array(ends), pa.array(value / np.where(length > 0, length, 1)[row]))
-            rest = batch.drop_columns(["counts"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, values], names=schema.fieldNames())
 
-    return counted.mapInArrow(run, schema)
+def _counted(df: DataFrame, text: str, width: int) -> DataFrame:
+    """(columns, counts) of a text column."""
+    return df.select(_listed(text, width)).mapInArrow(lambda batches: _count(batches, width), "columns array<int>, counts array<double>")
+
+
+def _weighted(counted: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(columns, values) of (columns, counts)."""
+    held = counted.sparkSession.sparkContext.broadcast(idf)
+    return counted.mapInArrow(lambda batches: _weigh(batches, held.value), "columns array<int>, values array<double>")
 
 
 def fit_sparse_basis(df: DataFrame, text: str, dim: int = 50, width: int = WIDTH, more: int = MORE, seed: int = SEED) -> SparseBasis:
     """The leading ``dim`` directions of the TF-IDF rows of a text column."""
-    counted = materialize(_counted(df.select(F.col(text)), text, width).select("columns", "counts"))
+    counted = materialize(_counted(df, text, width))
     n = counted.count()
     spread = counted.select(F.explode("columns").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("df")).collect()  # width at most
     idf = np.zeros(width)
@@ -165,18 +186,15 @@ def fit_sparse_basis(df: DataFrame, text: str, dim: int = 50, width: int = WIDTH
 
 def with_components(df: DataFrame, text: str, basis: SparseBasis, out: str = "components") -> DataFrame:
     """``df`` with the row's TF-IDF in the basis; texts without words have zeros."""
-    width = len(basis.idf)
-    rows = _weighted(_counted(df, text, width), basis.idf)
     schema = StructType([*df.schema.fields, StructField(out, ArrayType(DoubleType()))])
-    held = df.sparkSession.sparkContext.broadcast(basis.right)
+    held = df.sparkSession.sparkContext.broadcast((basis.idf, basis.right))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [np.zeros((0, held.value.shape[1]))]
-            for row, place, value, used, n in _blocks(iter([batch])):
-                done.append(_times(row, place, value, held.value[used], n))
+        idf, right = held.value
+        for batch in _weigh(_count(batches, len(idf)), idf):
+            done = [_times(row, place, value, right[used], n) for row, place, value, used, n in _blocks(iter([batch]))]
             rest = batch.drop_columns(["columns", "values"])
             whole = pa.array(list(np.concatenate(done)), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*rest.columns, whole], names=schema.fieldNames())
 
-    return rows.mapInArrow(run, schema)
+    return df.withColumn("_h", _listed(text, len(basis.idf))).mapInArrow(run, schema)

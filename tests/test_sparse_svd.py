@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,25 @@ def test_no_rows_and_clashing_order(spark):
     one = spark.createDataFrame([(1, "same same word")], "id long, text string")
     basis = sparse_svd.fit_sparse_basis(one, "text", dim=3)
     assert np.allclose(basis.values, [1, 0, 0])
+
+
+def test_blocks_are_bounded_by_rows_and_words(monkeypatch):
+    """A batch of many or long texts is worked on in parts of bounded size, with the same rows."""
+    rng = np.random.default_rng(3)
+    lists = [rng.integers(0, 50, n).tolist() for n in [*rng.integers(0, 30, 2500), 5000, 0, 40]]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(lists))), "_h": pa.array(lists, pa.list_(pa.int32()))})
+    monkeypatch.setattr(sparse_svd, "VALUES", 600)
+    parts = list(sparse_svd._count(iter([batch]), 50))
+    sizes = [sum(len(lists[i]) for i in p.column("id").to_pylist()) for p in parts]
+    assert all(p.num_rows <= sparse_svd.ROWS and (n <= 600 or p.num_rows == 1) for p, n in zip(parts, sizes, strict=True))
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [r["id"] for r in rows] == list(range(len(lists)))
+    assert all(dict(zip(r["columns"], r["counts"], strict=True)) == Counter(h) for r, h in zip(rows, lists, strict=True))
+    weighed = [r for p in sparse_svd._weigh(iter(parts), np.ones(50)) for r in p.to_pylist()]
+    assert all(np.isclose(np.linalg.norm(r["values"]), 1) == (len(h) > 0) for r, h in zip(weighed, lists, strict=True))
+
+
+def test_gaussian_rows_are_drawn_in_parts(monkeypatch):
+    whole = sparse_svd.gaussian_rows(np.arange(100), 7, 1)
+    monkeypatch.setattr(sparse_svd, "DRAWN", 9)
+    assert (sparse_svd.gaussian_rows(np.arange(100), 7, 1) == whole).all()
