@@ -144,3 +144,20 @@ def test_search_in_tiles_equals_all_scores(spark, docs, monkeypatch, match):
     got = lexical.bm25_search(index, asked, 4, match)
     key = lambda df: sorted((r.query_id, r["rank"], r.id is None, r.id or 0, round(r.score, 5)) for r in df.collect())
     assert key(got) == key(want) and "FlatMapCoGroupsInArrow" in plan(got)
+
+
+def test_hits_of_clauses_are_not_shuffled(spark, docs):
+    """Only matching documents leave a tile: the plan has no exchange by (query, document)."""
+    index = clauses.build_positions(spark.createDataFrame(docs, "id long, text string"))
+    asked = spark.createDataFrame([(1, 0, "must", "phrase", "new york"), (1, 1, "should", "prefix", "ne")], "query_id long, clause long, kind string, form string, text string")
+    plan = clauses.clause_scores(index, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "hashpartitioning(query_id" not in plan
+
+
+def test_copies_of_documents_and_clauses_without_known_words(spark):
+    """Documents that share an id count as one; a required clause without a known word finds nothing."""
+    index = clauses.build_positions(spark.createDataFrame([(1, "new york city"), (1, "new york city"), (2, "york new")], "id long, text string"))
+    rows = [(1, 0, "must", "phrase", "new york"), (2, 0, "must", "words", "new"), (2, 1, "must", "words", "zebra"), (3, 0, "must_not", "words", "city"),
+            (4, 0, "should", "prefix", "ci"), (4, 1, "should", "words", "york"), (4, 2, "must_not", "phrase", "york new")]
+    asked = spark.createDataFrame(rows, "query_id long, clause long, kind string, form string, text string")
+    assert sorted((r.query_id, r.id) for r in clauses.clause_scores(index, asked).collect()) == [(1, 1), (4, 1)]
