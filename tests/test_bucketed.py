@@ -41,6 +41,19 @@ def test_stored_children_fold_alike_without_exchange(spark, tmp_path, no_broadca
     assert "Exchange" not in plan(stored.fold_stored(again)) and key(stored.fold_stored(again)) == key(want)
 
 
+@pytest.mark.parametrize("limit", [500, 10])
+def test_projects_come_to_the_stored_lists(spark, tmp_path, no_broadcast, limit):
+    """Only ids and keys are moved: the join with the projects has no exchange of lists."""
+    tables = made(spark)
+    kept = stored.store_children(tables, str(tmp_path), f"wide{limit}", 4, limit)
+    projects = spark.createDataFrame([(k % 70, f"p{k}") for k in range(75)] + [(None, "lost")], "id long, title string")
+    got = stored.with_lists(projects, kept)
+    assert not any("list_" in line for line in plan(got).splitlines() if "Exchange" in line)
+    want = projects.join(fold_tables(tables, limit)[0], "id", "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
+    key = lambda df: sorted(str(tuple(r)) for r in df.select("id", "part", "title", "list_name", "list_kind", "list_title").collect())
+    assert key(got) == key(want)
+
+
 def test_bucketed_postings_are_searched_where_they_lie(spark, tmp_path, no_broadcast):
     rng = random.Random(2)
     words = [f"w{k}" for k in range(30)] + ["often"] * 30

@@ -272,6 +272,14 @@ def test_hot_keys(spark):
     assert [r["k"] for r in skew.hot_keys(df, "k", 5).collect()] == [1]
 
 
+def test_hot_keys_are_counted_by_hash_first(spark, monkeypatch):
+    """Keys that share a full hash bucket are told apart; null is a key like others."""
+    monkeypatch.setattr(skew, "HASHES", 1)
+    df = spark.createDataFrame([(1,)] * 10 + [(2,)] * 4 + [(None,)] * 6, "k long")
+    assert {r["k"] for r in skew.hot_keys(df, "k", 5).collect()} == {1, None}
+    assert skew.hot_keys(df, "k", 12) is None
+
+
 def test_dense_position(spark):
     rows = [(k, i) for k in (1, 2) for i in random.Random(3).sample(range(1000), 300)]
     df = spark.createDataFrame(rows, "k long, v long").withColumn("seg", F.floor(F.col("v") / 100))
