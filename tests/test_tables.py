@@ -280,6 +280,20 @@ def test_hot_keys_are_counted_by_hash_first(spark, monkeypatch):
     assert skew.hot_keys(df, "k", 12) is None
 
 
+def test_many_children_are_folded_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Plain rows are dealt over as many tasks as they need, and the lists stay the same."""
+    rows = spark.createDataFrame([(k % 7, k, f"a{k}") for k in range(300)], "projectID long, ord long, name string").withColumn("seg", F.col("ord"))
+    key = lambda df: sorted(map(str, df.collect()))
+    for limit in (500, 10):
+        before = key(fold.fold_children(rows, {"name": "list_name"}, limit))
+        with monkeypatch.context() as m:
+            m.setattr(fold, "SPREAD_ROWS", 100)
+            m.setattr(fold, "ROWS_PER_TASK", 20)
+            many = fold.fold_children(rows, {"name": "list_name"}, limit)
+            assert key(many) == before
+            assert many.rdd.getNumPartitions() == 15
+
+
 def test_dense_position(spark):
     rows = [(k, i) for k in (1, 2) for i in random.Random(3).sample(range(1000), 300)]
     df = spark.createDataFrame(rows, "k long, v long").withColumn("seg", F.floor(F.col("v") / 100))
