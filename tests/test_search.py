@@ -161,3 +161,26 @@ def test_copies_of_documents_and_clauses_without_known_words(spark):
             (4, 0, "should", "prefix", "ci"), (4, 1, "should", "words", "york"), (4, 2, "must_not", "phrase", "york new")]
     asked = spark.createDataFrame(rows, "query_id long, clause long, kind string, form string, text string")
     assert sorted((r.query_id, r.id) for r in clauses.clause_scores(index, asked).collect()) == [(1, 1), (4, 1)]
+
+
+def test_words_are_counted_where_the_texts_were_dealt(spark, monkeypatch):
+    """Tasks are as many as the characters need, not as the table has splits, and counts are not moved."""
+    monkeypatch.setattr(lexical, "TASK_CHARS", 100)
+    texts = spark.createDataFrame([(k, "new york city " * 5) for k in range(60)] + [(None, None)], "id long, text string").coalesce(1)
+    assert lexical.dealt_texts(texts).rdd.getNumPartitions() == 42
+    counts = lexical.term_counts(texts, stemmed=False)
+    assert "Exchange" not in plan(counts).split("Generate")[0]
+    assert sorted((r.id, r.term, r.tf, r.doc_len) for r in counts.collect()) == sorted((k, w, 5, 15) for k in range(60) for w in ("new", "york", "city"))
+
+
+def test_tiles_have_partitions_of_their_own(spark, docs, monkeypatch):
+    """A task sorts few tiles, however few the shuffle partitions are."""
+    monkeypatch.setattr(lexical, "TILE_DOCS", 4)
+    index = lexical.build_index(spark.createDataFrame(docs, "id long, text string"), stemmed=False)
+    asked = spark.createDataFrame([(1, "new york"), (2, "stone")], "query_id long, text string")
+    tiles = -(-index.n_docs // 4)
+    found = lexical.bm25_search(index, asked, 3, match="any")
+    dealt = re.findall(r"hashpartitioning\(tile#\d+, (?:part#\d+|0), (\d+)\)", plan(found))
+    assert dealt == [str(2 * tiles)] * 2
+    key = lambda df: sorted((r.query_id, r["rank"], r.id, r.score) for r in df.collect())
+    assert key(found) == key(lexical.top_k(lexical.bm25_scores(index, asked, "any"), 3))
