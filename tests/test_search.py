@@ -184,3 +184,37 @@ def test_tiles_have_partitions_of_their_own(spark, docs, monkeypatch):
     assert dealt == [str(2 * tiles)] * 2
     key = lambda df: sorted((r.query_id, r["rank"], r.id, r.score) for r in df.collect())
     assert key(found) == key(lexical.top_k(lexical.bm25_scores(index, asked, "any"), 3))
+
+
+def test_packs_travel_to_the_tiles(spark, docs, monkeypatch):
+    """Postings and query terms are copied as packs, not row by row; many small packs give the same rows."""
+    index = lexical.build_index(spark.createDataFrame([*docs, (None, "new york")], "id long, text string"), stemmed=False)
+    asked = spark.createDataFrame([("a", "new york"), ("b", "stone"), (None, "river")], "query_id string, text string")
+    key = lambda df: sorted((r.query_id or "", r["rank"], r.id is None, r.id or 0, r.score) for r in df.collect())
+    found = lexical.bm25_search(index, asked, 3, match="any")
+    moved = re.findall(r"Input \[\d+\]: \[([^\]]*)\]\nArguments: hashpartitioning\((?:tile|part)", plan(found))
+    assert moved and all("pack" in m and "term" not in m for m in moved)
+    want = key(found)
+    monkeypatch.setattr(lexical, "PACK_BYTES", 1)
+    assert key(lexical.bm25_search(index, asked, 3, match="any")) == want
+
+
+def test_blocks_store_and_move_no_postings_again(spark, docs, monkeypatch):
+    index = lexical.build_index(spark.createDataFrame(docs, "id long, text string"), stemmed=False)
+    monkeypatch.setattr(pruned, "materialize", None)
+    blocks = pruned.build_blocks(index, 4)
+    assert "Exchange" not in plan(blocks.postings)
+    n_blocks = -(-index.n_docs // 4)
+    block = {r.id: r.b for r in index.postings.select("id", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("b")).collect()}
+    most = {}
+    for r in index.postings.select("term", "id", lexical.saturation(index.avg_len).alias("s")).collect():
+        most[r.term, block[r.id]] = max(r.s, most.get((r.term, block[r.id]), 0))
+    assert {(r.term, r.block): r.most for r in blocks.maxima.collect()} == pytest.approx(most)
+
+
+def test_positions_stay_where_the_texts_were_dealt(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(clauses, "materialize", lambda df: kept.append(df) or df)
+    clauses.build_positions(spark.createDataFrame([(k, "new york city new") for k in range(30)], "id long, text string"))
+    text = plan(kept[0], "simple")
+    assert text.count("Exchange") == 1
